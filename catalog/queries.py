@@ -81,7 +81,7 @@ def fusion_job(spark, sf_dir):
     for band, path in paths.items():
         store.write_wide(_wide(spark, sf_dir, band), path)
     fused = fusion.fuse(wide.read_images(spark, **paths), grid=STRIPS)
-    return fused.select("scene", "row_key", _scaled_text("pixels", 1000).alias("cells"))
+    return fused.select("scene", "row_key", _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
 def raster_shape(spark, sf_dir):
@@ -255,7 +255,7 @@ def date_predictions(spark, sf_dir):
 
 def _fused_cells(fused: DataFrame) -> DataFrame:
     cells = fused.select(*LINE_KEY, F.posexplode("pixels").alias("col", "value"))
-    return cells.select(*CELL, F.round("value", 3).alias("fused"))
+    return cells.select(*CELL, F.round("value", 6).alias("fused"))
 
 
 def fused(spark, sf_dir):
@@ -281,19 +281,19 @@ def fused_six_classes(spark, sf_dir):
 
 def fused_rows(spark, sf_dir):
     rows = fusion.fused_rows(fusion.fuse(_lines(spark, sf_dir), grid=STRIPS))
-    return rows.select(*LINE_KEY, _scaled_text("pixels", 1000).alias("cells"))
+    return rows.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
 def fused_packed(spark, sf_dir):
     whole = fusion.fuse(_lines(spark, sf_dir), grid=STRIPS)
     packed = whole.select(*LINE_KEY, packing.pack_fused("pixels").alias("final_pixels"))
     lines = packed.select(*LINE_KEY, packing.unpack_fused("final_pixels").alias("pixels"))
-    return lines.select(*LINE_KEY, _scaled_text("pixels", 1000).alias("cells"))
+    return lines.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
 def fused_preview(spark, sf_dir):
     shown = fusion.fused_preview(fusion.fuse(_lines(spark, sf_dir), grid=STRIPS))
-    return shown.select(*LINE_KEY, _scaled_text("pixels", 1000).alias("cells"))
+    return shown.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
 # Regression
@@ -330,7 +330,7 @@ def regression_eval(spark, sf_dir):
     cells = _patches(spark, sf_dir)
     fit = regression.regression_fit(cells, "fine1", "coarse1", PATCH_KEY)
     fitted = regression.regression_eval(cells, fit, "fine1", PATCH_KEY)
-    return fitted.select(*CELL, F.round("yhat", 4).alias("yhat"))
+    return fitted.select(*CELL, F.round("yhat", 6).alias("yhat"))
 
 
 QUERIES = {

@@ -208,10 +208,10 @@ pix AS (
 
 
 def _scaled_line(value: str) -> str:
-    return _line(f"CAST(round({value} * 1000) AS BIGINT)")
+    return _line(f"CAST(round({value} * 1000000) AS BIGINT)")
 
 
-_FUSED_CELLS = "SELECT scene, row_key, col, round(fused, 3) AS fused FROM fused"
+_FUSED_CELLS = "SELECT scene, row_key, col, round(fused, 6) AS fused FROM fused"
 _FLOAT_LINES = f"""SELECT scene, row_key,
   {_scaled_line('CAST(CAST(fused AS FLOAT) AS DOUBLE)')} AS cells
 FROM fused GROUP BY scene, row_key"""
@@ -342,7 +342,7 @@ FROM lines_of""",
     ),
     "regression_eval": _with(
         [_PIX, _PATCHES],
-        """SELECT scene, row_key, col, round(intercept + slope * fine1, 4) AS yhat
+        """SELECT scene, row_key, col, round(intercept + slope * fine1, 6) AS yhat
 FROM patches JOIN lines_of USING (scene, patch_row, patch_col)""",
     ),
 }

@@ -13,6 +13,11 @@ def to_digital_number(value) -> Column:
     return F.coalesce(cell.try_cast("int"), F.lit(0))
 
 
+def to_digital_numbers(line) -> Column:
+    """The same for an array of float cells, with one cast for the whole line."""
+    return F.transform(line.try_cast("array<int>"), lambda cell: F.coalesce(cell, F.lit(0)))
+
+
 def cell_at(pixels, col) -> Column:
     """One cell of a line; a column outside the line gives 0."""
     index = F.lit(col) if isinstance(col, int) else col

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from gridfuse.functions.stencil import EPSILON
 from gridfuse.schema import BANDS, Grid
 
-_ROWS_AT_ONCE = 32  # keeps the working arrays of a step inside the CPU cache
+_CELLS_AT_ONCE = 16_384  # keeps the working arrays of a step near the CPU cache
 _EXACT_LIMIT = 10_000_000  # integer sums of products stay exact below this value
 
 
@@ -50,6 +50,10 @@ def band_grids(table: pa.Table, first_row: int, rows: int, cols: int):
     return grids, np.where(complete, size[0], -1)
 
 
+def _largest(grids, bands) -> int:
+    return max(max(int(grids[b].max()), -int(grids[b].min())) for b in bands)
+
+
 def _box_sum(values: np.ndarray, window: int) -> np.ndarray:
     h, w = values.shape[0] - window + 1, values.shape[1] - window + 1
     down = sum(values[k : k + h] for k in range(window))
@@ -67,68 +71,85 @@ def _temporal_weights(tp, tkm, tkn, zero_change):
     return wm, wn
 
 
-def fuse_grids(grids, t1, t2, window, slope, zero_change):
-    """Fused values of the owned cells, from grids that carry the halo."""
-    f1, f2, c1, c2, c0 = (grids[b].astype(np.int64) for b in BANDS)
-    h, w = f1.shape[0] - window + 1, f1.shape[1] - window + 1
-    largest = max(int(np.abs(v).max(initial=0)) for v in (f1, f2, c1, c2))
-    exact = largest < _EXACT_LIMIT
-
-    usable = (f1 != 0) & (f2 != 0)
-    near1, near2 = np.where(usable, f1, np.nan), np.where(usable, f2, np.nan)
-    corr = np.sign(f1 - f2) * np.sign(c1 - c2)
-    closeness = 1.0 / (1.0 - corr + EPSILON)
+def _cell_terms(grids, slope):
+    """What a cell contributes to the sums of the cells that find it similar."""
+    f1, f2, c1, c2, c0 = (grids[b].astype(np.float64) for b in BANDS)
+    closeness = 1.0 / (1.0 - np.sign(f1 - f2) * np.sign(c1 - c2) + EPSILON)
+    by_distance = [closeness, closeness * (c0 - c1), closeness * (c0 - c2)]
     x, y = ((f1, f2), (c1, c2)) if slope == "coarse_on_fine" else ((c1, c2), (f1, f2))
-    x, y = [v.astype(np.float64) for v in x], [v.astype(np.float64) for v in y]
-    per_cell = (
-        closeness,
-        closeness * (c0 - c1),
-        closeness * (c0 - c2),
+    plain = [
         x[0] + x[1],
         y[0] + y[1],
         x[0] * y[0] + x[1] * y[1],
         x[0] * x[0] + x[1] * x[1],
-    )
+        np.ones_like(f1),
+    ]
+    return by_distance, plain
+
+
+def _similar_sums(grids, t1, t2, window, slope, h, w):
+    """Sums over the similar neighbours of each cell, in the order of ``_cell_terms``."""
+    by_distance, plain = _cell_terms(grids, slope)
+    usable = (grids["fine1"] != 0) & (grids["fine2"] != 0)
+    small = _largest(grids, ("fine1", "fine2")) < 2**23
+    kind = np.float32 if small else np.float64  # either holds the integers exactly
+    near = [np.where(usable, grids[b], np.nan).astype(kind) for b in ("fine1", "fine2")]
+    centre = [np.ascontiguousarray(v[:h, :w]) for v in near]
+    limit = [kind(np.floor(t)) for t in (t1, t2)]
+
+    sums = np.zeros((8, h, w))
+    gap, term, keep = np.empty((h, w), kind), np.empty((h, w)), np.empty((h, w))
+    similar = [np.empty((h, w), bool) for _ in near]
+    for dc in range(window):
+        # Shifting columns once per dc keeps the inner operations on aligned memory.
+        near_dc, by_distance_dc, plain_dc = (
+            [np.ascontiguousarray(v[:, dc : dc + w]) for v in group]
+            for group in (near, by_distance, plain)
+        )
+        for dr in range(1 if dc == 0 else 0, window):
+            rows = slice(dr, dr + h)
+            for k in (0, 1):
+                np.abs(np.subtract(centre[k], near_dc[k][rows], out=gap), out=gap)
+                np.less_equal(gap, limit[k], out=similar[k])
+            np.logical_and(*similar, out=similar[0])
+            np.copyto(keep, similar[0])
+            for total, value in zip(sums[3:], plain_dc):
+                total += np.multiply(keep, value[rows], out=term)
+            keep /= 1.0 + np.sqrt(dr * dr + dc * dc) / (window // 2)
+            for total, value in zip(sums, by_distance_dc):
+                total += np.multiply(keep, value[rows], out=term)
+    return sums
 
-    acc = np.zeros((8, h, w))
-    gap, gap2, keep = np.empty((h, w)), np.empty((h, w)), np.empty((h, w))
-    for dr in range(window):
-        for dc in range(window):
-            if dr == dc == 0:
-                continue
-            there = (slice(dr, dr + h), slice(dc, dc + w))
-            np.abs(np.subtract(near1[:h, :w], near1[there], out=gap), out=gap)
-            np.abs(np.subtract(near2[:h, :w], near2[there], out=gap2), out=gap2)
-            np.multiply(gap <= t1, gap2 <= t2, out=keep)
-            acc[7] += keep
-            distance = 1.0 + np.sqrt(dr * dr + dc * dc) / (window // 2)
-            for k in range(3, 7):
-                acc[k] += np.multiply(keep, per_cell[k][there], out=gap)
-            keep /= distance
-            for k in range(3):
-                acc[k] += np.multiply(keep, per_cell[k][there], out=gap)
-
-    inv, change_m, change_n, sx, sy, sxy, sxx, similar = acc
+
+def fuse_grids(grids, t1, t2, window, slope, zero_change):
+    """Fused values of the owned cells, from grids that carry the halo."""
+    h, w = (n - window + 1 for n in grids["fine1"].shape)
+    inv, change_m, change_n, sx, sy, sxy, sxx, similar = _similar_sums(
+        grids, t1, t2, window, slope, h, w
+    )
     pairs = 2 * similar
-    if exact:
+    if _largest(grids, BANDS[:4]) < _EXACT_LIMIT:
         pairs, sx, sy, sxy, sxx = (v.astype(np.int64) for v in (pairs, sx, sy, sxy, sxx))
     spread = pairs * sxx - sx * sx
     flat = spread == 0
     v = np.where(flat, 1.0, (pairs * sxy - sx * sy) / np.where(flat, 1, spread))
     norm = np.where(inv == 0, 1.0, inv)
-    tp, tkm, tkn = (_box_sum(c, window) for c in (c0, c1, c2))
+    tp, tkm, tkn = (
+        _box_sum(grids[b].astype(np.int64), window) for b in ("coarse0", "coarse1", "coarse2")
+    )
     wm, wn = _temporal_weights(tp, tkm, tkn, zero_change)
-    pred_m = f1[:h, :w] + v * (change_m / norm)
-    pred_n = f2[:h, :w] + v * (change_n / norm)
+    pred_m = grids["fine1"][:h, :w] + v * (change_m / norm)
+    pred_n = grids["fine2"][:h, :w] + v * (change_n / norm)
     return wm * pred_m + wn * pred_n
 
 
 def fuse_tile(table: pa.Table, grid: Grid, slope: str, zero_change: str):
     """One tile of band lines in; the keys, list offsets and values of its owned lines out."""
     halo, tile_rows = grid.halo, grid.tile_rows
-    tile_cols = grid.tile_cols or pc.max(pc.list_value_length(table.column("pixels"))).as_py()
+    longest = pc.max(pc.list_value_length(table.column("pixels"))).as_py()
+    tile_cols = max(1, min(longest, grid.tile_cols or longest))
     first_row = table.column("tile_row")[0].as_py() * tile_rows
-    grids, length = band_grids(table, first_row, tile_rows + halo, tile_cols + halo)
+    grids, length = band_grids(table, first_row, tile_rows + halo, longest + halo)
     owned = np.flatnonzero(length[:tile_rows] >= 0)
     t1, t2 = table.column("t1")[0].as_py(), table.column("t2")[0].as_py()
     if len(owned) and (t1 is None or t2 is None):
@@ -136,9 +157,10 @@ def fuse_tile(table: pa.Table, grid: Grid, slope: str, zero_change: str):
     width = np.minimum(length[owned], tile_cols)
     values = [np.empty(0)]
     last = int(owned[-1]) + 1 if len(owned) else 0
-    for top in range(0, last, _ROWS_AT_ONCE):
-        bottom = min(top + _ROWS_AT_ONCE, last)
-        part = {b: g[top : bottom + halo] for b, g in grids.items()}
+    step = max(8, _CELLS_AT_ONCE // tile_cols)
+    for top in range(0, last, step):
+        bottom = min(top + step, last)
+        part = {b: g[top : bottom + halo, : tile_cols + halo] for b, g in grids.items()}
         fused = fuse_grids(part, t1, t2, grid.window, slope, zero_change)
         here = (owned >= top) & (owned < bottom)
         values += [fused[r - top, :n] for r, n in zip(owned[here], width[here])]

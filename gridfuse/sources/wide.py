@@ -8,7 +8,7 @@ column.  Convert such a file once; everything else works on RASTER_ROWS.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfuse.functions.pixels import cell_at, to_digital_number
+from gridfuse.functions.pixels import to_digital_numbers
 from gridfuse.operators.layout import stack_images
 from gridfuse.schema import BANDS
 
@@ -36,12 +36,13 @@ def rows_from_wide(
     # Tied to the key rather than a bare constant: a constant would be folded out of the
     # join keys and with it the match between their partitioning and that of the tiles.
     of_scene = F.when(line.isNotNull(), F.lit(scene))
-    cells = F.array(*[to_digital_number(F.col(f"`{c}`")) for c in pixels])
-    return wide.select(
-        of_scene.alias("scene"),
+    # The line is one array before it is cast: thousands of column casts are slow to compile.
+    cells = F.array(*[F.col(f"`{c}`") for c in pixels])
+    return wide.select(of_scene.alias("scene"), line.alias("row_key"), cells.alias("line")).select(
+        "scene",
         F.lit(band).alias("band"),
-        line.alias("row_key"),
-        cells.alias("pixels"),
+        "row_key",
+        to_digital_numbers(F.col("line")).alias("pixels"),
     )
 
 
@@ -84,9 +85,10 @@ def wide_from_rows(rows: DataFrame, cols: int) -> DataFrame:
 
     Cells that a short line lacks are no-data.
     """
+    cells = F.concat(F.col("pixels").cast("array<double>"), F.array_repeat(F.lit(0.0), cols))
     line = F.col("row_key")
-    return rows.select(
-        *[cell_at("pixels", i).cast("double").alias(str(i)) for i in range(cols)],
+    return rows.select(line, cells.alias("cells")).select(
+        *[F.get("cells", F.lit(i)).alias(str(i)) for i in range(cols)],
         line.cast("double").alias(str(cols)),
         line.cast("bigint").alias(INDEX_COLUMN),
     )
