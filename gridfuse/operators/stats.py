@@ -39,11 +39,14 @@ def _spread(n, total, squares) -> Column:
 def _strip_moments(rows: DataFrame, grid: Grid) -> DataFrame:
     """Exact sums per image and strip of lines.
 
-    The strips keep the bigint sums small; the sums over strips are decimal.
-    Integer sums do not depend on the order of the data, so every run gives
-    the same thresholds.
+    Squares are summed in two halves, which keeps bigint sums safe for the
+    whole range of int.  Integer sums do not depend on the order of the data,
+    so every run gives the same thresholds.
     """
     px = F.col("px").cast("bigint")
+    low_bits = 2**32
+    high = F.sum(F.shiftright(px * px, 32)).cast("decimal(20,0)")
+    low = F.sum((px * px).bitwiseAND(F.lit(low_bits - 1)))
     return (
         _cells(rows, "scene", "band", owner_row(grid).alias("tile_row"))
         .groupBy("scene", "band", "tile_row")
@@ -51,7 +54,7 @@ def _strip_moments(rows: DataFrame, grid: Grid) -> DataFrame:
             F.max("n_cols").alias("n_cols"),
             F.count("px").alias("n"),
             F.sum(px).alias("total"),
-            F.sum(px * px).cast("decimal(20,0)").alias("squares"),
+            (high * F.lit(low_bits) + low).cast("decimal(28,0)").alias("squares"),
         )
     )
 

@@ -201,9 +201,7 @@ def test_images_as_separate_tables(spark):
 
 def test_stored_form_and_preview(spark):
     fused = fuse(raster_rows(spark, {"a": noisy_image(15, 30, 4)}))
-    assert fused_rows(fused).schema == FUSED or [
-        (f.name, f.dataType.simpleString()) for f in fused_rows(fused).schema
-    ] == [(f.name, f.dataType.simpleString()) for f in FUSED]
+    assert fused_rows(fused).schema.simpleString() == FUSED.simpleString()
     assert [r["row_key"] for r in fused_preview(fused).collect()] == list(range(20))
 
 
