@@ -6,7 +6,7 @@ Results are scalar columns; a line of cells is given as text.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfuse.functions import packing
+from gridfuse.functions import packing, window_fusion
 from gridfuse.functions.pixels import to_digital_number
 from gridfuse.operators import layout, neighborhood, predict, regression, similarity, stats
 from gridfuse.plans import fuse as fusion
@@ -259,43 +259,58 @@ def _fused_cells(fused: DataFrame) -> DataFrame:
 
 
 def fused(spark, sf_dir):
-    return _fused_cells(fusion.fuse(_lines(spark, sf_dir), grid=TILES))
+    return _fused_cells(fusion.fuse(_stack(spark, sf_dir), grid=TILES))
 
 
 def fused_expr(spark, sf_dir):
-    return _fused_cells(fusion.fuse(_lines(spark, sf_dir), grid=TILES, engine="expr"))
+    return _fused_cells(fusion.fuse(_stack(spark, sf_dir), grid=TILES, engine="expr"))
 
 
 def fused_published_slope(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return _fused_cells(fusion.fuse(lines, slope="fine_on_coarse", grid=TILES))
+    stack = _stack(spark, sf_dir)
+    return _fused_cells(fusion.fuse(stack, slope="fine_on_coarse", grid=TILES))
 
 
 def fused_zero_change(spark, sf_dir):
-    return _fused_cells(fusion.fuse(_lines(spark, sf_dir), zero_change="zero", grid=TILES))
+    return _fused_cells(fusion.fuse(_stack(spark, sf_dir), zero_change="zero", grid=TILES))
 
 
 def fused_six_classes(spark, sf_dir):
-    return _fused_cells(fusion.fuse(_lines(spark, sf_dir), num_class=6, grid=TILES))
+    return _fused_cells(fusion.fuse(_stack(spark, sf_dir), num_class=6, grid=TILES))
 
 
 def fused_rows(spark, sf_dir):
-    rows = fusion.fused_rows(fusion.fuse(_lines(spark, sf_dir), grid=STRIPS))
+    rows = fusion.fused_rows(fusion.fuse(_stack(spark, sf_dir), grid=STRIPS))
     return rows.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
 def fused_packed(spark, sf_dir):
-    whole = fusion.fuse(_lines(spark, sf_dir), grid=STRIPS)
+    whole = fusion.fuse(_stack(spark, sf_dir), grid=STRIPS)
     packed = whole.select(*LINE_KEY, packing.pack_fused("pixels").alias("final_pixels"))
     lines = packed.select(*LINE_KEY, packing.unpack_fused("final_pixels").alias("pixels"))
     return lines.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
 def fused_preview(spark, sf_dir):
-    shown = fusion.fused_preview(fusion.fuse(_lines(spark, sf_dir), grid=STRIPS))
+    shown = fusion.fused_preview(fusion.fuse(_stack(spark, sf_dir), grid=STRIPS))
     return shown.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
+def fused_by_sql(spark, sf_dir):
+    """The fusion as an aggregate over a SQL window."""
+    window_fusion.register_fusion(spark, "fuse_line")
+    strips = neighborhood.tile_stack_with_limits(_stack(spark, sf_dir), grid=STRIPS)
+    fused = spark.sql(
+        """SELECT scene, row_key, tile_row,
+                  fuse_line(row_key, fine1, fine2, coarse1, coarse2, coarse0, t1, t2)
+                    OVER (PARTITION BY scene, tile_row, tile_col ORDER BY row_key
+                          RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS pixels
+           FROM {strips}""",
+        strips=strips,
+    )
+    return _fused_cells(fused.where(layout.owner_row(STRIPS) == F.col("tile_row")))
+
+
 # Regression
 
 
@@ -371,6 +386,7 @@ QUERIES = {
         fused_rows,
         fused_packed,
         fused_preview,
+        fused_by_sql,
         regression_fit,
         regression_eval,
     )

@@ -328,6 +328,7 @@ FROM predicted""",
     ),
     "fused": _with(_fusion(), _FUSED_CELLS),
     "fused_expr": _with(_fusion(), _FUSED_CELLS),
+    "fused_by_sql": _with(_fusion(), _FUSED_CELLS),
     "fused_published_slope": _with(_fusion(slope="fine_on_coarse"), _FUSED_CELLS),
     "fused_zero_change": _with(_fusion(zero_change="zero"), _FUSED_CELLS),
     "fused_six_classes": _with(_fusion(num_class=6), _FUSED_CELLS),

@@ -53,6 +53,27 @@ def stack_to_lines(stack: DataFrame, bands=BANDS) -> DataFrame:
     )
 
 
+def as_lines(images: DataFrame) -> DataFrame:
+    """Images as RASTER_ROWS with the five bands only; takes STACK or RASTER_ROWS."""
+    if "band" not in images.columns:
+        return stack_to_lines(images)
+    return images.select("scene", "band", "row_key", "pixels").where(F.col("band").isin(*BANDS))
+
+
+def fine_lines(images: DataFrame) -> DataFrame:
+    """The two fine images as RASTER_ROWS; the other bands are not read."""
+    if "band" not in images.columns:
+        return stack_to_lines(images, ("fine1", "fine2"))
+    return images.where(F.col("band").isin("fine1", "fine2"))
+
+
+def line_keys(images: DataFrame) -> DataFrame:
+    """The line keys of the images, taken from ``fine1``; no cell is read."""
+    if "band" in images.columns:
+        images = images.where(F.col("band") == "fine1")
+    return images.select(*LINE_KEY)
+
+
 def lines_to_stack(lines: DataFrame, keys=LINE_KEY) -> DataFrame:
     """RASTER_ROWS to STACK by grouping; lines that a band lacks drop out.
 
@@ -99,6 +120,14 @@ def owner_row(grid: Grid, row_key="row_key") -> Column:
     return F.floor(F.col(row_key) / F.lit(grid.tile_rows)).cast("int")
 
 
+def strips_of_line(grid: Grid) -> Column:
+    """The strips that hold a line: its own and those whose last lines look at it."""
+    topmost = F.floor((F.col("row_key") - grid.halo) / F.lit(grid.tile_rows)).cast("int")
+    # No strip lies above line 0, unless keys are negative.
+    topmost = F.when(F.col("row_key") < 0, topmost).otherwise(F.greatest(topmost, F.lit(0)))
+    return F.sequence(topmost, owner_row(grid))
+
+
 def _last_tile_col(width: Column, grid: Grid) -> Column:
     if grid.tile_cols is None:
         return F.lit(0)
@@ -117,11 +146,10 @@ def cut_tiles(df: DataFrame, columns, grid: Grid) -> DataFrame:
     width = F.size(columns[0])
     if len(columns) > 1:
         width = F.greatest(*[F.size(c) for c in columns])
-    topmost = F.floor((F.col("row_key") - grid.halo) / F.lit(grid.tile_rows)).cast("int")
     keep = [c for c in df.columns if c not in columns]
-    cut = df.withColumn(
-        "tile_row", F.explode(F.sequence(topmost, owner_row(grid)))
-    ).withColumn("tile_col", F.explode(F.sequence(F.lit(0), _last_tile_col(width, grid))))
+    cut = df.withColumn("tile_row", F.explode(strips_of_line(grid))).withColumn(
+        "tile_col", F.explode(F.sequence(F.lit(0), _last_tile_col(width, grid)))
+    )
     if grid.tile_cols is None:
         return cut
     start = F.col("tile_col") * grid.tile_cols + 1
@@ -131,15 +159,15 @@ def cut_tiles(df: DataFrame, columns, grid: Grid) -> DataFrame:
     )
 
 
-def tile_list(lines: DataFrame, scenes: DataFrame, grid: Grid) -> DataFrame:
+def tile_list(images: DataFrame, scenes: DataFrame, grid: Grid) -> DataFrame:
     """One row per tile with the values of its scene.
 
     ``scenes`` has one row per scene with its width ``n_cols``.  Only the line
     keys are read here.  Values of a scene thus reach the lines over the tile
-    key, on which they are distributed anyway: neither is a scene
-    broadcast nor do all lines of a large scene meet in one task.
+    key, on which they are distributed anyway: no table of scenes is broadcast
+    by force, and the lines of a large scene do not meet in one task.
     """
-    strips = lines.select("scene", owner_row(grid).alias("tile_row")).distinct()
+    strips = line_keys(images).select("scene", owner_row(grid).alias("tile_row")).distinct()
     last = _last_tile_col(F.col("n_cols"), grid)
     return (
         strips.join(scenes, "scene")

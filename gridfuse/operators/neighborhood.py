@@ -10,9 +10,10 @@ from pyspark.sql import Window
 from gridfuse.functions.pixels import pixel_index
 from gridfuse.operators.layout import (
     cut_tiles,
+    fine_lines,
     owner_row,
     spread_tiles,
-    stack_to_lines,
+    strips_of_line,
     tile_list,
 )
 from gridfuse.operators.stats import scene_limits
@@ -28,25 +29,24 @@ def tile_stack(stack: DataFrame, grid: Grid = Grid()) -> DataFrame:
 
 def with_limits(
     tiles: DataFrame,
-    lines: DataFrame,
+    images: DataFrame,
     num_class: int = NUM_CLASS,
     grid: Grid = Grid(),
 ) -> DataFrame:
     """Add the similarity thresholds ``t1`` and ``t2`` to every tile.
 
-    ``lines`` is the RASTER_ROWS table of the same scenes.  The join keeps the
-    distribution of :func:`spread_tiles`.
+    ``images`` is the STACK or RASTER_ROWS table that was cut.  The join keeps
+    the distribution of :func:`spread_tiles`.
     """
-    fine1 = lines.where(F.col("band") == "fine1")
-    limits = tile_list(fine1, scene_limits(lines, num_class, grid), grid)
-    return tiles.join(limits, TILE_KEY, "left")
+    limits = scene_limits(fine_lines(images), num_class, grid)
+    return tiles.join(tile_list(images, limits, grid), TILE_KEY, "left")
 
 
 def tile_stack_with_limits(
     stack: DataFrame, num_class: int = NUM_CLASS, grid: Grid = Grid()
 ) -> DataFrame:
     """STACK as tiles with the thresholds of its own fine images."""
-    return with_limits(tile_stack(stack, grid), stack_to_lines(stack), num_class, grid)
+    return with_limits(tile_stack(stack, grid), stack, num_class, grid)
 
 
 def _owned(grid: Grid) -> Column:
@@ -66,15 +66,7 @@ def window_rows(rows: DataFrame, grid: Grid = Grid()) -> DataFrame:
     lines are cut into strips without their cells.
     """
     keys = rows.select(*LINE_KEY)
-    strips = keys.withColumn(
-        "tile_row",
-        F.explode(
-            F.sequence(
-                F.floor((F.col("row_key") - grid.halo) / F.lit(grid.tile_rows)).cast("int"),
-                owner_row(grid),
-            )
-        ),
-    )
+    strips = keys.withColumn("tile_row", F.explode(strips_of_line(grid)))
     w = Window.partitionBy("scene", "tile_row").orderBy("row_key").rangeBetween(0, grid.halo)
     return (
         strips.select(

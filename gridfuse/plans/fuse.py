@@ -5,16 +5,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfuse.operators.kernel import fuse_tile
-from gridfuse.operators.layout import cut_tiles, lines_to_stack, spread_tiles
+from gridfuse.operators.layout import as_lines, cut_tiles, lines_to_stack, spread_tiles
 from gridfuse.operators.neighborhood import neighbors, with_limits
 from gridfuse.operators.predict import SLOPES, fused_pixels, pixel_sums
-from gridfuse.schema import BANDS, LINE_KEY, NUM_CLASS, TILE_KEY, Grid
+from gridfuse.schema import LINE_KEY, NUM_CLASS, TILE_KEY, Grid
 
 
-def _limited_tiles(lines: DataFrame, num_class: int, grid: Grid) -> DataFrame:
-    lines = lines.select("scene", "band", "row_key", "pixels").where(F.col("band").isin(*BANDS))
-    tiles = spread_tiles(cut_tiles(lines, ["pixels"], grid), grid)
-    return with_limits(tiles, lines, num_class, grid)
+def _limited_tiles(images: DataFrame, num_class: int, grid: Grid) -> DataFrame:
+    tiles = spread_tiles(cut_tiles(as_lines(images), ["pixels"], grid), grid)
+    return with_limits(tiles, images, num_class, grid)
 
 
 def _by_arrow(tiles: DataFrame, slope: str, zero_change: str, grid: Grid) -> DataFrame:
@@ -43,7 +42,7 @@ def _by_expressions(tiles: DataFrame, slope: str, zero_change: str, grid: Grid)
 
 
 def fuse_parts(
-    lines: DataFrame,
+    images: DataFrame,
     num_class: int = NUM_CLASS,
     slope: str = "coarse_on_fine",
     zero_change: str = "limit",
@@ -52,8 +51,8 @@ def fuse_parts(
 ) -> DataFrame:
     """The fused image as parts of lines: ``scene, row_key, tile_col, pixels``.
 
-    ``lines`` is a RASTER_ROWS table with the five bands.  It is shuffled
-    once, by tile; a second read of the two fine bands gives the thresholds.
+    ``images`` is a STACK, or a RASTER_ROWS table with the five bands.  It is
+    shuffled once, by tile; a second read of the two fine bands gives the thresholds.
     ``engine`` is ``arrow`` (whole tiles in numpy) or ``expr`` (column
     expressions only); both give the same image.
     """
@@ -64,12 +63,12 @@ def fuse_parts(
     engines = {"arrow": _by_arrow, "expr": _by_expressions}
     if engine not in engines:
         raise ValueError(f"unknown engine {engine!r}")
-    tiles = _limited_tiles(lines, num_class, grid)
+    tiles = _limited_tiles(images, num_class, grid)
     return engines[engine](tiles, slope, zero_change, grid)
 
 
 def fuse(
-    lines: DataFrame,
+    images: DataFrame,
     num_class: int = NUM_CLASS,
     slope: str = "coarse_on_fine",
     zero_change: str = "limit",
@@ -81,7 +80,7 @@ def fuse(
     Uncut lines (``grid.tile_cols=None``) need no regrouping; otherwise the
     parts of each line meet in one further exchange of the result alone.
     """
-    parts = fuse_parts(lines, num_class, slope, zero_change, grid, engine)
+    parts = fuse_parts(images, num_class, slope, zero_change, grid, engine)
     if grid.tile_cols is None:
         return parts.select(*LINE_KEY, "pixels")
     return join_parts(parts)
