@@ -291,6 +291,14 @@ def fused_packed(spark, sf_dir):
     return lines.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
+def fused_packed_tiles(spark, sf_dir):
+    """Packed lines in and out, so that cells move as bytes all the way."""
+    lines = packing.pack_rows(_lines(spark, sf_dir))
+    whole = fusion.fuse(lines, grid=TILES, packed=True)
+    lines = whole.select(*LINE_KEY, packing.unpack_fused("pixels").alias("pixels"))
+    return lines.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
+
+
 def fused_preview(spark, sf_dir):
     shown = fusion.fused_preview(fusion.fuse(_stack(spark, sf_dir), grid=STRIPS))
     return shown.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
@@ -385,6 +393,7 @@ QUERIES = {
         fused_six_classes,
         fused_rows,
         fused_packed,
+        fused_packed_tiles,
         fused_preview,
         fused_by_sql,
         regression_fit,

@@ -334,6 +334,7 @@ FROM predicted""",
     "fused_six_classes": _with(_fusion(num_class=6), _FUSED_CELLS),
     "fused_rows": _with(_fusion(), _FLOAT_LINES),
     "fused_packed": _with(_fusion(), _FLOAT_LINES),
+    "fused_packed_tiles": _with(_fusion(), _FLOAT_LINES),
     "fused_preview": _with(_fusion(), _FUSED_LINES + " ORDER BY scene, row_key LIMIT 20"),
     "regression_fit": _with(
         [_PIX, _PATCHES],

@@ -10,15 +10,23 @@ similar to anything, and neither adds to a block sum.
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
+from gridfuse.functions.packing import INT_CELL, blob_cells
 from gridfuse.functions.stencil import EPSILON
 from gridfuse.schema import BANDS, Grid
 
-_CELLS_AT_ONCE = 16_384  # keeps the working arrays of a step near the CPU cache
+_CELLS_AT_ONCE, _COLS_AT_ONCE = 8_192, 512  # keeps the working arrays of a step in cache
 _EXACT_LIMIT = 10_000_000  # integer sums of products stay exact below this value
 
 
+def line_cells(table: pa.Table):
+    """The cells of all lines, arrays or packed, and where each line begins and ends."""
+    pixels = table.column("pixels").combine_chunks()
+    if pa.types.is_binary(pixels.type) or pa.types.is_large_binary(pixels.type):
+        return blob_cells(pixels, INT_CELL)
+    return pixels.values.to_numpy(), pixels.offsets.to_numpy()
+
+
 def band_grids(table: pa.Table, first_row: int, rows: int, cols: int):
     """Band lines of a tile as five padded grids, and the length of each complete line.
 
@@ -28,9 +36,7 @@ def band_grids(table: pa.Table, first_row: int, rows: int, cols: int):
     lines = table.combine_chunks()
     offset = lines.column("row_key").to_numpy() - first_row
     names = lines.column("band").to_pylist()
-    pixels = lines.column("pixels").combine_chunks()
-    starts = pixels.offsets.to_numpy()
-    flat = pixels.values.to_numpy()
+    flat, starts = line_cells(table)
     grids = {b: np.zeros((rows, cols), dtype=np.int32) for b in BANDS}
     lengths = {b: np.full(rows, -1) for b in BANDS}
     for i, (band, r) in enumerate(zip(names, offset)):
@@ -146,7 +152,7 @@ def fuse_grids(grids, t1, t2, window, slope, zero_change):
 def fuse_tile(table: pa.Table, grid: Grid, slope: str, zero_change: str):
     """One tile of band lines in; the keys, list offsets and values of its owned lines out."""
     halo, tile_rows = grid.halo, grid.tile_rows
-    longest = pc.max(pc.list_value_length(table.column("pixels"))).as_py()
+    longest = int(np.diff(line_cells(table)[1]).max())
     tile_cols = max(1, min(longest, grid.tile_cols or longest))
     first_row = table.column("tile_row")[0].as_py() * tile_rows
     grids, length = band_grids(table, first_row, tile_rows + halo, longest + halo)
@@ -155,14 +161,19 @@ def fuse_tile(table: pa.Table, grid: Grid, slope: str, zero_change: str):
     if len(owned) and (t1 is None or t2 is None):
         raise ValueError("no similarity threshold for this tile")
     width = np.minimum(length[owned], tile_cols)
-    values = [np.empty(0)]
     last = int(owned[-1]) + 1 if len(owned) else 0
-    step = max(8, _CELLS_AT_ONCE // tile_cols)
-    for top in range(0, last, step):
-        bottom = min(top + step, last)
-        part = {b: g[top : bottom + halo, : tile_cols + halo] for b, g in grids.items()}
-        fused = fuse_grids(part, t1, t2, grid.window, slope, zero_change)
-        here = (owned >= top) & (owned < bottom)
-        values += [fused[r - top, :n] for r, n in zip(owned[here], width[here])]
+    fused = np.empty((last, tile_cols))
+    cols = min(_COLS_AT_ONCE, tile_cols)
+    rows = max(8, _CELLS_AT_ONCE // cols)
+    for top in range(0, last, rows):
+        bottom = min(top + rows, last)
+        for left in range(0, tile_cols, cols):
+            right = min(left + cols, tile_cols)
+            held = (slice(top, bottom + halo), slice(left, right + halo))
+            part = {b: g[held] for b, g in grids.items()}
+            fused[top:bottom, left:right] = fuse_grids(
+                part, t1, t2, grid.window, slope, zero_change
+            )
+    values = [np.empty(0), *(fused[r, :n] for r, n in zip(owned, width))]
     ends = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
     return owned + first_row, ends, np.concatenate(values)

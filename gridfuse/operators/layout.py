@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridfuse.functions.packing import CELL_BYTES, is_packed
 from gridfuse.schema import BANDS, LINE_KEY, TILE_KEY, Grid
 
 
@@ -116,6 +117,13 @@ def pixels_long(stack: DataFrame) -> DataFrame:
     )
 
 
+def line_width(df: DataFrame, column: str = "pixels") -> Column:
+    """How many cells a line has, as an array or packed."""
+    if is_packed(df, column):
+        return (F.length(column) / CELL_BYTES).cast("int")
+    return F.size(column)
+
+
 def owner_row(grid: Grid, row_key="row_key") -> Column:
     return F.floor(F.col(row_key) / F.lit(grid.tile_rows)).cast("int")
 
@@ -141,22 +149,27 @@ def cut_tiles(df: DataFrame, columns, grid: Grid) -> DataFrame:
     tile holds the cells it owns and ``grid.halo`` further lines and columns.
     The copies are the fraction ``halo/tile_rows + halo/tile_cols`` of the
     data, and a tile has a fixed largest size however large its scene is.
+    Lines are arrays or packed.
     """
     columns = list(columns)
-    width = F.size(columns[0])
-    if len(columns) > 1:
-        width = F.greatest(*[F.size(c) for c in columns])
+    packed = {c for c in columns if is_packed(df, c)}
+    widths = [line_width(df, c) for c in columns]
+    width = F.greatest(*widths) if len(widths) > 1 else widths[0]
     keep = [c for c in df.columns if c not in columns]
     cut = df.withColumn("tile_row", F.explode(strips_of_line(grid))).withColumn(
         "tile_col", F.explode(F.sequence(F.lit(0), _last_tile_col(width, grid)))
     )
     if grid.tile_cols is None:
         return cut
-    start = F.col("tile_col") * grid.tile_cols + 1
-    held = F.lit(grid.tile_cols + grid.halo)
-    return cut.select(
-        *keep, "tile_row", "tile_col", *[F.slice(c, start, held).alias(c) for c in columns]
-    )
+    before = F.col("tile_col") * grid.tile_cols
+    held = grid.tile_cols + grid.halo
+
+    def part(column):
+        if column in packed:
+            return F.substring(column, before * CELL_BYTES + 1, F.lit(held * CELL_BYTES))
+        return F.slice(column, before + 1, F.lit(held))
+
+    return cut.select(*keep, "tile_row", "tile_col", *[part(c).alias(c) for c in columns])
 
 
 def tile_list(images: DataFrame, scenes: DataFrame, grid: Grid) -> DataFrame:

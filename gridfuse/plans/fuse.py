@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridfuse.functions.packing import FLOAT_CELL, is_packed, pack_fused, to_blobs, unpack_rows
 from gridfuse.operators.kernel import fuse_tile
 from gridfuse.operators.layout import as_lines, cut_tiles, lines_to_stack, spread_tiles
 from gridfuse.operators.neighborhood import neighbors, with_limits
@@ -16,29 +17,39 @@ def _limited_tiles(images: DataFrame, num_class: int, grid: Grid) -> DataFrame:
     return with_limits(tiles, images, num_class, grid)
 
 
-def _by_arrow(tiles: DataFrame, slope: str, zero_change: str, grid: Grid) -> DataFrame:
+def _by_arrow(
+    tiles: DataFrame, slope: str, zero_change: str, grid: Grid, packed: bool
+) -> DataFrame:
     def one_tile(table: pa.Table) -> pa.Table:
         keys, ends, values = fuse_tile(table, grid, slope, zero_change)
         same = {
             c: pa.repeat(table.column(c)[0], len(keys)) for c in ("scene", "tile_col")
         }
         pixels = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        if packed:
+            pixels = to_blobs(pixels, FLOAT_CELL)
         return pa.table({**same, "row_key": pa.array(keys, pa.int32()), "pixels": pixels})
 
-    schema = "scene string, tile_col int, row_key int, pixels array<double>"
+    cells = "binary" if packed else "array<double>"
+    schema = f"scene string, tile_col int, row_key int, pixels {cells}"
     return tiles.groupBy(*TILE_KEY).applyInArrow(one_tile, schema)
 
 
-def _by_expressions(tiles: DataFrame, slope: str, zero_change: str, grid: Grid) -> DataFrame:
+def _by_expressions(
+    tiles: DataFrame, slope: str, zero_change: str, grid: Grid, packed: bool
+) -> DataFrame:
+    if is_packed(tiles):
+        tiles = unpack_rows(tiles)
     stack = lines_to_stack(tiles, [*TILE_KEY, "row_key", "t1", "t2"])
     near = neighbors(stack, grid, centre=True)
     cells = fused_pixels(pixel_sums(near, slope, grid), zero_change)
     line = F.sort_array(F.collect_list(F.struct("col", "fused")))
-    return (
+    parts = (
         cells.groupBy(*TILE_KEY, "row_key")
         .agg(line.alias("cells"))
         .select("scene", "tile_col", "row_key", F.col("cells.fused").alias("pixels"))
     )
+    return parts.withColumn("pixels", pack_fused("pixels")) if packed else parts
 
 
 def fuse_parts(
@@ -48,13 +59,16 @@ def fuse_parts(
     zero_change: str = "limit",
     grid: Grid = Grid(),
     engine: str = "arrow",
+    packed: bool = False,
 ) -> DataFrame:
     """The fused image as parts of lines: ``scene, row_key, tile_col, pixels``.
 
     ``images`` is a STACK, or a RASTER_ROWS table with the five bands.  It is
     shuffled once, by tile; a second read of the two fine bands gives the thresholds.
+    The pixels of RASTER_ROWS may be packed, which is the fastest input.
     ``engine`` is ``arrow`` (whole tiles in numpy) or ``expr`` (column
-    expressions only); both give the same image.
+    expressions only); both give the same image.  ``packed`` gives the result
+    as big-endian float32 blobs instead of arrays of double.
     """
     if slope not in SLOPES:
         raise ValueError(f"unknown slope {slope!r}")
@@ -64,7 +78,7 @@ def fuse_parts(
     if engine not in engines:
         raise ValueError(f"unknown engine {engine!r}")
     tiles = _limited_tiles(images, num_class, grid)
-    return engines[engine](tiles, slope, zero_change, grid)
+    return engines[engine](tiles, slope, zero_change, grid, packed)
 
 
 def fuse(
@@ -74,13 +88,14 @@ def fuse(
     zero_change: str = "limit",
     grid: Grid = Grid(),
     engine: str = "arrow",
+    packed: bool = False,
 ) -> DataFrame:
-    """The fused image, one row per line: ``scene, row_key, pixels`` in double.
+    """The fused image, one row per line: ``scene, row_key, pixels``.
 
     Uncut lines (``grid.tile_cols=None``) need no regrouping; otherwise the
     parts of each line meet in one further exchange of the result alone.
     """
-    parts = fuse_parts(images, num_class, slope, zero_change, grid, engine)
+    parts = fuse_parts(images, num_class, slope, zero_change, grid, engine, packed)
     if grid.tile_cols is None:
         return parts.select(*LINE_KEY, "pixels")
     return join_parts(parts)
@@ -89,10 +104,16 @@ def fuse(
 def join_parts(parts: DataFrame) -> DataFrame:
     """Whole lines from the parts that column tiles left."""
     ordered = F.sort_array(F.collect_list(F.struct("tile_col", "pixels")))
+    pieces = F.col("parts.pixels")
+    if is_packed(parts):
+        empty = F.lit(b"")
+        line = F.aggregate(pieces, empty, lambda left, right: F.concat(left, right))
+    else:
+        line = F.flatten(pieces)
     return (
         parts.groupBy(*LINE_KEY)
         .agg(ordered.alias("parts"))
-        .select(*LINE_KEY, F.flatten(F.col("parts.pixels")).alias("pixels"))
+        .select(*LINE_KEY, line.alias("pixels"))
     )
 
 

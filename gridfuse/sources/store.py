@@ -20,12 +20,17 @@ def write_wide(wide: DataFrame, path: str) -> None:
 def write_lines(rows: DataFrame, path: str, partitions: int | None = None) -> None:
     """Lines (RASTER_ROWS, STACK or FUSED) as parquet.
 
-    With ``partitions`` the lines are range-partitioned and sorted first, so
-    that a later filter on scene or lines skips files by their statistics.
+    RASTER_ROWS get one folder per band, so that the thresholds read the two
+    fine bands only.  With ``partitions`` the lines are range-partitioned and
+    sorted first, so that a later filter on scene or lines skips files by
+    their statistics.
     """
     if partitions is not None:
         rows = range_layout(rows, partitions)
-    rows.write.parquet(path)
+    writer = rows.write
+    if "band" in rows.columns:
+        writer = writer.partitionBy("band")
+    writer.parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import brute
+from gridfuse.functions.packing import pack_rows, unpack_fused
 from gridfuse.operators.layout import stack_images
 from gridfuse.plans.fuse import fuse, fuse_parts, fused_preview, fused_rows
 from gridfuse.schema import BANDS, FUSED, Grid
@@ -212,3 +213,19 @@ def test_wrong_options(spark):
             fuse_parts(lines, **options)
     with pytest.raises(ValueError):
         Grid(window=1)
+
+
+@pytest.mark.parametrize("engine", ENGINES)
+def test_packed_lines_give_the_same(spark, engine):
+    images = {"a": noisy_image(17, 9, 11), "b": {k: v for k, v in noisy_image(18, 6, 9).items()
+                                                 if k[0] < 5 or k[1] < 4}}
+    lines = raster_rows(spark, images)
+    for grid in (SMALL, Grid(tile_rows=3, tile_cols=None)):
+        packed = fuse(pack_rows(lines), grid=grid, engine=engine, packed=True)
+        assert packed.schema["pixels"].dataType.simpleString() == "binary"
+        found = cells_of(packed.withColumn("pixels", unpack_fused("pixels")))
+        for scene, image in images.items():
+            wanted = brute.fuse(image)
+            assert set(found[scene]) == set(wanted)
+            for cell, value in wanted.items():
+                assert found[scene][cell] == pytest.approx(value, rel=1e-6)

@@ -94,6 +94,21 @@ def test_lines_stored_and_read(spark, tmp_path):
         assert sorted(spark.read.parquet(path).collect()) == sorted(stack.collect())
 
 
+def test_bands_stored_apart(spark, tmp_path):
+    rows = raster_rows(spark, {"a": noisy_image(4, 9, 6)})
+    path = str(tmp_path / "rows")
+    store.write_lines(packing.pack_rows(rows), path, 2)
+    stored = spark.read.parquet(path)
+    assert sorted(packing.unpack_rows(stored).select(rows.columns).collect()) == sorted(
+        rows.collect()
+    )
+    assert "PartitionFilters: [isnotnull(band" in (
+        stored.where("band = 'fine1'")._jdf.queryExecution().executedPlan().toString()
+    )
+    agree = cells_of(fuse(stored))["a"], cells_of(fuse(rows))["a"]
+    assert agree[0] == pytest.approx(agree[1])
+
+
 def test_shared_folder(spark):
     assert store.shared_folder(spark) != store.shared_folder(spark)
 

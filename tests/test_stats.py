@@ -2,6 +2,7 @@ import statistics
 
 import pytest
 
+from gridfuse.functions.packing import pack_rows
 from gridfuse.operators import layout, regression, stats
 from gridfuse.schema import BANDS, Grid
 from rasters import image_of, noisy_image, raster_rows, stack_rows
@@ -97,3 +98,13 @@ def test_regression_evaluated(spark):
             assert row["yhat"] is None
         else:
             assert row["yhat"] == pytest.approx(row["y"])
+
+
+def test_packed_lines_have_the_same_statistics(spark):
+    images = {"a": noisy_image(8, 9, 7), "b": image_of(3, 2, lambda r, c: [-2_000_000_000 - r] * 5)}
+    rows = raster_rows(spark, images)
+    grid = Grid(tile_rows=2)
+    for measure in (stats.image_stddev, lambda r, g: stats.scene_limits(r, 4, g)):
+        assert sorted(measure(rows, grid).collect()) == sorted(
+            measure(pack_rows(rows), grid).collect()
+        )
