@@ -229,3 +229,41 @@ def test_packed_lines_give_the_same(spark, engine):
             assert set(found[scene]) == set(wanted)
             for cell, value in wanted.items():
                 assert found[scene][cell] == pytest.approx(value, rel=1e-6)
+
+
+def tile_exchanges(plan):
+    return [line for line in plan.splitlines() if "Exchange hash" in line and "tile_col" in line]
+
+
+@pytest.mark.parametrize("engine", ENGINES)
+def test_without_any_broadcast(spark, engine):
+    """The plan for tables of thresholds too large to broadcast: still one exchange of the cells."""
+    image = noisy_image(19, 9, 7)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        lines = raster_rows(spark, {"a": image, "b": image})
+        fused = fuse_parts(lines, grid=Grid(tile_rows=4, tile_cols=None), engine=engine)
+        plan = fused._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SinglePartition" not in plan
+        # One for the cells, one for the list of tiles.
+        assert len(tile_exchanges(plan)) == 2
+        agree(cells_of(fused)["b"], brute.fuse(image))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_tile_in_several_arrow_batches(spark):
+    image = noisy_image(20, 12, 6)
+    lines = raster_rows(spark, {"a": image})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for rows in (lines, pack_rows(lines)):
+            agree(cells_of(fuse(rows))["a"], brute.fuse(image))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
