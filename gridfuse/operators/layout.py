@@ -192,12 +192,12 @@ def tile_list(images: DataFrame, scenes: DataFrame, grid: Grid) -> DataFrame:
 def spread_tiles(tiles: DataFrame, grid: Grid) -> DataFrame:
     """Hash-distribute tiles; later joins, windows and groups on the tile key reuse it.
 
-    A given number of partitions is kept by adaptive execution, which else
-    merges partitions that are small in bytes but heavy in arithmetic.
+    The number of partitions is given explicitly, because adaptive execution
+    would merge partitions that are small in bytes but heavy in arithmetic.
     """
-    if grid.partitions is None:
-        return tiles.repartition(*TILE_KEY)
-    return tiles.repartition(grid.partitions, *TILE_KEY)
+    settings = tiles.sparkSession.conf
+    n = grid.partitions or int(settings.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(n, *TILE_KEY)
 
 
 def range_layout(df: DataFrame, partitions: int = 20) -> DataFrame:

@@ -50,8 +50,8 @@ class Grid:
 
     A cell looks at ``window`` lines and columns, itself first.  A tile owns
     ``tile_rows`` by ``tile_cols`` cells; ``tile_cols=None`` leaves lines
-    uncut, which suits images of a known moderate width.  ``partitions`` fixes the
-    number of shuffle partitions; without it the session settings decide.
+    uncut, which suits images of a known moderate width.  ``partitions`` is the
+    number of shuffle partitions, by default ``spark.sql.shuffle.partitions``.
     """
 
     window: int = 5
