@@ -6,15 +6,26 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gridfuse.llm.common import documents
+from gridfuse.llm.packing import packed
+from gridfuse.llm.quality import quality_report
 from gridfuse.llm.sharding import byte_shards
 from gridfuse.llm.token_counts import token_counts
 
 
+def op2_packing(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packed(documents(spark, sf_dir), path, end_id=2, size=4096)
+
+
 def op4_token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts(documents(spark, sf_dir), path, limit=1024)
 
 
+def op6_quality_rules(spark, sf_dir):
+    return quality_report(documents(spark, sf_dir))
+
+
 def op7_byte_shards(spark, sf_dir):
     return byte_shards(documents(spark, sf_dir), shards=40).select(
         "doc_id",
@@ -28,7 +39,9 @@ def op7_byte_shards(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_token_counts": op4_token_counts,
+    "op6_quality_rules": op6_quality_rules,
     "op7_byte_shards": op7_byte_shards,
 }
 

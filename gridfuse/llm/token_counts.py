@@ -25,6 +25,8 @@ SPACES = (
     *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
+#: A space that is not followed by a non-space, or may not be.
+UNEVEN = re.compile(r" (?:\s|$)")
 #: Entries of the memory of a worker; it starts anew when full.
 REMEMBERED = 500_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -107,9 +109,8 @@ class TokenCounter:
     def part(self, text: str) -> int:
         if not text:
             return 0
-        chunks = chunk_end().split(text) if "  " in text else text.split(" ")
-        if "  " not in text and re.search(r" [^\S ]| $", text):
-            chunks = chunk_end().split(text)
+        plain = UNEVEN.search(text) is None
+        chunks = text.split(" ") if plain else chunk_end().split(text)
         total, known = self.merged(chunks[0]), self.known
         for chunk in chunks[1:]:
             count = known.get(chunk)
