@@ -10,6 +10,7 @@ from gridfuse.llm.packing import packed
 from gridfuse.llm.quality import quality_report
 from gridfuse.llm.sharding import byte_shards
 from gridfuse.llm.token_counts import token_counts
+from gridfuse.llm.toxicity import fit, fold, toxicity_scores
 
 
 def op2_packing(spark, sf_dir):
@@ -22,6 +23,13 @@ def op4_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), path, limit=1024)
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0), per_class=2000)
+    return toxicity_scores(docs, model, folds=5)
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_report(documents(spark, sf_dir))
 
@@ -41,6 +49,7 @@ def op7_byte_shards(spark, sf_dir):
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_shards": op7_byte_shards,
 }
