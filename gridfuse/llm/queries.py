@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gridfuse.llm.common import documents
+from gridfuse.llm.decontaminate import contamination
+from gridfuse.llm.near_dedup import near_duplicates
 from gridfuse.llm.packing import packed
 from gridfuse.llm.quality import quality_report
 from gridfuse.llm.sharding import byte_shards
@@ -46,12 +48,23 @@ def op7_byte_shards(spark, sf_dir):
     )
 
 
+def op9_decontamination(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(documents(spark, sf_dir), benchmark).drop("row")
+
+
+def op10_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_shards": op7_byte_shards,
+    "op9_decontamination": op9_decontamination,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
