@@ -9,8 +9,8 @@ windows in a join on the shingle.  A match must leave room for the whole window
 sides of the shingle, and its words are then compared one by one.
 
 Two passes over the documents: one counts the benchmark's shingles, one finds matches.
-What the passes keep is told by a bit set of ``BITS`` bits, whatever the benchmark's size:
-it only saves rows, the joins decide.
+What the passes keep is told by a bit set of a fixed size (``bits``), whatever the
+benchmark's size: it only saves rows, the joins decide.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridfuse.llm.bits import bit_set, in_set
 from gridfuse.llm.common import Workspace, map_rows
 from gridfuse.llm.words import Words, find_words, lower_case, runs, text_chunks, word_bytes
 
-WINDOW, SHINGLE, BITS = 13, 4, 1 << 23
+WINDOW, SHINGLE = 13, 4
 #: A document is contaminated if so many times its hit words reach its words.
 TIMES = 20
 
@@ -77,24 +78,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return map_rows(items, rows, WINDOWS)
 
 
-def bit_set(hashes: DataFrame) -> np.ndarray:
-    """The column ``shingle`` as a bit set of ``BITS`` bits; BITS / 64 numbers at most."""
-    rows = (
-        hashes.select(F.pmod("shingle", F.lit(BITS)).alias("bit"))
-        .groupBy(F.expr("bit div 64").alias("at"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-        .toPandas()
-    )
-    out = np.zeros(BITS // 64, np.uint64)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def in_set(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(BITS - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-
-
 def wanted_runs(words: Words, widths: list[int], bits: np.ndarray):
     for width in widths:
         hashes, first = runs(words, width)
@@ -192,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = distinct.select("key", F.posexplode("shingles").alias("ahead", "shingle"))
     found_widths = windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("w")).distinct()
     widths = sorted(r.w for r in found_widths.collect())  # SHINGLE numbers at most
-    counts = shingle_counts(docs, widths, bit_set(parts))
+    counts = shingle_counts(docs, widths, bit_set(parts, "shingle"))
     rarest = (
         parts.join(counts, "shingle")
         .groupBy("key")
@@ -206,7 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where("present = size(shingles)")
         .select("key", "window", F.col("rare.ahead").alias("ahead"), F.col("rare.shingle").alias("shingle"))
     )
-    found = tables.written(places_of(docs, widths, bit_set(prefixes)))
+    found = tables.written(places_of(docs, widths, bit_set(prefixes, "shingle")))
     places = found.select("row", F.explode("places").alias("p")).select("row", "p.*")
     hits = tables.written(
         places.join(prefixes, "shingle")

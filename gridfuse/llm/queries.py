@@ -11,10 +11,15 @@ from gridfuse.llm.near_dedup import near_duplicates
 from gridfuse.llm.packing import packed
 from gridfuse.llm.quality import quality_report
 from gridfuse.llm.sharding import byte_shards
+from gridfuse.llm.suffix_dedup import repeated_bytes
 from gridfuse.llm.token_counts import token_counts
 from gridfuse.llm.toxicity import fit, fold, toxicity_scores
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return repeated_bytes(documents(spark, sf_dir))
+
+
 def op2_packing(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return packed(documents(spark, sf_dir), path, end_id=2, size=4096)
@@ -58,6 +63,7 @@ def op10_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
