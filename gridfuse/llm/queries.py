@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridfuse.llm.common import documents
 from gridfuse.llm.decontaminate import contamination
+from gridfuse.llm.maxent import text_scores
 from gridfuse.llm.near_dedup import near_duplicates
 from gridfuse.llm.packing import packed
 from gridfuse.llm.quality import quality_report
@@ -53,6 +54,10 @@ def op7_byte_shards(spark, sf_dir):
     )
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return text_scores(documents(spark, sf_dir), folds=10)
+
+
 def op9_decontamination(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(documents(spark, sf_dir), benchmark).drop("row")
@@ -69,6 +74,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_shards": op7_byte_shards,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
