@@ -1,13 +1,74 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Every stage but the last returns the columns of documents; a stage that changes a text
+counts its characters anew.  Rows with a null id stay themselves through all stages.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridfuse.llm.common import Workspace, documents
+from gridfuse.llm.decontaminate import contamination
+from gridfuse.llm.near_dedup import near_duplicates
+from gridfuse.llm.packing import packed
+from gridfuse.llm.pii import masked_documents
+from gridfuse.llm.quality import clean_documents
+
+
+def counted_anew(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.length("text").cast(kind))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without their failing lines."""
+    return counted_anew(clean_documents(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; of a repeated row, one."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    copies = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated with benchmark passages."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination(docs, benchmark).where("contaminated")
+    found = found.select(F.col("doc_id").alias("_id"), "text_key").distinct()
+    same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["text_key"])
+    return docs.join(found, same, "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return counted_anew(masked_documents(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packed(docs, path, end_id=2, size=4096)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
+#: Tokens, MinHash tables and packing by cost have no SQL; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 

@@ -35,7 +35,7 @@ TIMES = 20
 _INSIDE = word_bytes(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 WINDOWS = "item_id string, key binary, words array<string>, shingles array<long>"
 FOUND = (
-    "row long, doc_id long, n_words long, "
+    "row long, doc_id long, text_key long, n_words long, "
     "places array<struct<shingle:long,place:int,before:int,words:array<string>>>"
 )
 
@@ -139,14 +139,16 @@ def places_of(docs: DataFrame, widths: list[int], bits: np.ndarray) -> DataFrame
                 [
                     pa.array(range(row, row + len(sizes)), pa.int64()),
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("text_key"),
                     pa.array(sizes, pa.int64()),
                     pa.array(nested, pa.list_(kind)),
                 ],
-                names=["row", "doc_id", "n_words", "places"],
+                names=["row", "doc_id", "text_key", "n_words", "places"],
             )
             row += len(sizes)
 
-    return docs.select("doc_id", "text").mapInArrow(over, FOUND)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(over, FOUND)
 
 
 def covered(spans: str) -> F.Column:
@@ -159,8 +161,9 @@ def covered(spans: str) -> F.Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of docs.
+    """(row, doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated) per row of docs.
 
+    ``text_key`` is Spark's xxhash64 of the text, so that a row is found again by id and key.
     Null and empty texts have no words and no hits; items without words, or with a null
     text or id, have no windows.  Repeated rows and null ids of docs are kept, each judged by
     itself; repeated items count once.  Either table may be empty.  Other columns are
@@ -213,12 +216,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("row")
         .agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     )
-    judged = found.select("row", "doc_id", "n_words").join(spans, "row", "left").join(items, "row", "left")
+    judged = found.select("row", "doc_id", "text_key", "n_words").join(spans, "row", "left").join(items, "row", "left")
     n_hit, none = F.coalesce("n_hit", F.lit(0)), F.array().cast("array<string>")
     listed = F.coalesce("items", none)
     return judged.select(
         "row",
         "doc_id",
+        "text_key",
         "n_words",
         n_hit.cast("long").alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),

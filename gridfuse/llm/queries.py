@@ -10,6 +10,7 @@ from gridfuse.llm.decontaminate import contamination
 from gridfuse.llm.maxent import text_scores
 from gridfuse.llm.near_dedup import near_duplicates
 from gridfuse.llm.packing import packed
+from gridfuse.llm.pii import span_report
 from gridfuse.llm.quality import quality_report
 from gridfuse.llm.sharding import byte_shards
 from gridfuse.llm.suffix_dedup import repeated_bytes
@@ -26,6 +27,10 @@ def op2_packing(spark, sf_dir):
     return packed(documents(spark, sf_dir), path, end_id=2, size=4096)
 
 
+def op3_personal_data(spark, sf_dir):
+    return span_report(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts(documents(spark, sf_dir), path, limit=1024)
@@ -60,7 +65,7 @@ def op8_lm_scoring(spark, sf_dir):
 
 def op9_decontamination(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(documents(spark, sf_dir), benchmark).drop("row")
+    return contamination(documents(spark, sf_dir), benchmark).drop("row", "text_key")
 
 
 def op10_near_dedup(spark, sf_dir):
@@ -70,6 +75,7 @@ def op10_near_dedup(spark, sf_dir):
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
+    "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
