@@ -9,11 +9,14 @@ and 2, 40 in place of 400, a pair at similarity 0.75 misses all tables with prob
 0.0005, at 0.8 with 0.00007.  The second half is only combined for documents
 that share a first half with another.
 
-Within a table's bucket every document is compared with the smallest first.  Components
-of the confirmed links follow, and only buckets that still hold several components
-go on: small ones with every pair across components, larger ones with the next
-smallest document, and so on until no bucket is open.  No bucket is cut, and no pair that
-could join two components is left out.
+Within a table's bucket every document is compared with the smallest.  Components of the
+confirmed links follow.  Buckets that still hold several components, mostly short
+documents with a passage in common, are dealt anew: two sets at the threshold share one
+of their rarest shingles (a quarter of the set, and one more), so the members of such
+buckets meet by those, which leaves nothing out.  There only pairs across
+components are compared whose sizes and places allow the threshold: at once in small
+buckets, some leaders against all in larger ones, round by round until no bucket holds two
+components that have not met.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfuse.llm.common import Workspace, map_rows
@@ -31,8 +34,9 @@ from gridfuse.llm.words import WHITE, distinct_sets, find_words, mix, shingles,
 
 WIDTH, PERCENT = 5, 75
 TABLES, ROWS = 10, 2
-#: Buckets up to this size are finished with all pairs across components at once.
-SMALL = 32
+#: Buckets of a shared rare shingle up to ``SMALL`` members are finished at once; in larger
+#: ones ``LEADERS`` members meet all others in a round.
+SMALL, LEADERS = 1024, 64
 SIGNATURES = "doc_id long, n long, set_key binary, first array<long>, second array<long>"
 
 _random = np.random.default_rng(20)
@@ -136,52 +140,86 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(sided, rows, "u long, v long")
 
 
-def near_size(one: str, other: str):
-    return F.expr(f"100 * least({one}, {other}) >= {PERCENT} * greatest({one}, {other})")
+def near_size(one: str, other: str) -> str:
+    return f"100 * least({one}, {other}) >= {PERCENT} * greatest({one}, {other})"
 
 
-def led(members: DataFrame) -> DataFrame:
-    """``members`` with the smallest id of their bucket, the leader, and its size."""
-    leader = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"))
-    return members.join(leader, "key").select(
-        *members.columns, F.col("leader.id").alias("u"), F.col("leader.n").alias("n_u")
+def prefix_members(texts: DataFrame) -> DataFrame:
+    """(key, id, n, place): the rarest shingles of each set, enough that two sets that are
+    similar enough share one; ``place`` counts from 1 in the order of rarity."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = []
+        for n, hashes, owners in chunk_sets(batch.column("text")):
+            ends = np.cumsum(np.bincount(owners, minlength=n))[:-1]
+            lists += np.split(hashes.view(np.int64), ends)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array(lists, pa.list_(pa.int64()))], names=["id", "keys"]
+        )
+
+    sets = map_rows(texts, rows, "id long, keys array<long>")
+    held = sets.select("id", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    counts = held.groupBy("key").agg(F.count("*").alias("texts"))
+    rarity = Window.partitionBy("id").orderBy("texts", "key")
+    placed = held.join(counts, "key").withColumn("place", F.row_number().over(rarity))
+    needed = F.expr(f"place <= n - ceil({PERCENT} * n / 100) + 1")
+    return placed.where(needed).where("texts > 1").select("key", "id", "n", "place")
+
+
+def still_open(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their ``root`` and the number
+    ``c`` of the bucket's members."""
+    roots = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    buckets = (
+        rooted.groupBy("key")
+        .agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low < high")
+        .select("key", "c")
+    )
+    return rooted.join(buckets, "key")
+
+
+def pairs_between(leaders: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct (u, v) of one bucket and two components that may be similar enough: by size,
+    and by what can follow the shingle that they share."""
+    left = leaders.select("key", *(F.col(c).alias(f"{c}_u") for c in ("id", "n", "place", "root")))
+    right = members.select("key", "id", "n", "place", "root")
+    follow = "1 + least(n - place, n_u - place_u)"
+    return (
+        left.join(right, "key")
+        .where("id_u < id and root_u <> root")
+        .where(near_size("n", "n_u"))
+        .where(f"{100 + PERCENT} * ({follow}) >= {PERCENT} * (n + n_u)")
+        .select(F.col("id_u").alias("u"), F.col("id").alias("v"))
+        .distinct()
     )
 
 
 def set_links(members: DataFrame, texts: DataFrame, tables: Workspace) -> DataFrame:
     """Stars (u, v) of the components of all confirmed links between classes."""
-    members = tables.written(led(members))
-    pairs = members.where("id <> u").where(near_size("n", "n_u"))
-    tried = tables.written(pairs.select("u", F.col("id").alias("v")).distinct())
+    leader = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"))
+    led = members.join(leader, "key").where("id <> leader.id")
+    pairs = led.where(near_size("n", "leader.n"))
+    pairs = pairs.select(F.col("leader.id").alias("u"), F.col("id").alias("v")).distinct()
+    tried = tables.written(pairs)
     stars = component_stars(confirmed(tried, texts), tables)
+    wanted = tables.written(still_open(led.select("key", "id", "n"), stars).select("id").distinct())
+    rest = tables.written(prefix_members(texts.join(wanted, "id", "left_semi")))
     while True:
-        # Leaders have met all of their bucket.
-        rest = members.where("id <> u").select("key", "id", "n")
-        rest = rest.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
-        rest = rest.withColumn("root", F.coalesce("root", "id"))
-        still_open = (
-            rest.groupBy("key")
-            .agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("s"))
-            .where("r < s")
-            .select("key", "c")
-        )
-        rest = tables.written(rest.join(still_open, "key"))
+        rest = tables.written(still_open(rest, stars))
         if rest.isEmpty():
             return stars
-        small = rest.where(F.col("c") <= SMALL)
-        other = small.select("key", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
-        pairs = small.join(other, "key").where("id < v and root <> root_v").where(near_size("n", "n_v"))
-        pairs = pairs.select(F.col("id").alias("u"), "v")
-        members = tables.written(led(rest.where(F.col("c") > SMALL).select("key", "id", "n", "root")))
-        roots = members.where("id = u").select("key", F.col("root").alias("root_u"))
-        ahead = members.where("id <> u").join(roots, "key").where("root <> root_u")
-        ahead = ahead.where(near_size("n", "n_u")).select("u", F.col("id").alias("v"))
-        fresh = pairs.unionByName(ahead).distinct().join(tried, ["u", "v"], "left_anti")
-        fresh = tables.written(fresh)
+        small, large = rest.where(F.col("c") <= SMALL), rest.where(F.col("c") > SMALL)
+        turn = Window.partitionBy("key").orderBy("id")
+        large = tables.written(large.withColumn("turn", F.row_number().over(turn)))
+        first = large.where(F.col("turn") <= LEADERS)
+        fresh = pairs_between(small, small).unionByName(pairs_between(first, large)).distinct()
+        fresh = tables.written(fresh.join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(fresh)
-        links = confirmed(fresh, texts).unionByName(stars)
-        stars = component_stars(links, tables)
-        members = members.drop("root")
+        stars = component_stars(confirmed(fresh, texts).unionByName(stars), tables)
+        # Leaders have met all of their bucket.
+        rest = large.where(F.col("turn") > LEADERS).drop("turn", "root", "c")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
