@@ -3,11 +3,11 @@
 Results are scalar columns; a line of cells is given as text.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfuse.functions import packing, window_fusion
-from gridfuse.functions.pixels import to_digital_number
+from gridfuse.functions.pixels import cell_at, to_digital_number
 from gridfuse.operators import layout, neighborhood, predict, regression, similarity, stats
 from gridfuse.plans import fuse as fusion
 from gridfuse.schema import BANDS, LINE_KEY, Grid
@@ -132,6 +132,22 @@ def pixels_long(spark, sf_dir):
     return layout.pixels_long(_stack(spark, sf_dir))
 
 
+def pack_unpack_nulls(spark, sf_dir):
+    """Null lines stay null through packing; a null cell is no-data."""
+    cells = F.transform("fine1", lambda px, at: F.when(at % 11 != 0, px))
+    holed = _stack(spark, sf_dir).select(
+        *LINE_KEY, F.when(F.col("row_key") % 7 != 0, cells).alias("pixels")
+    )
+    lines = packing.unpack_rows(packing.pack_rows(holed))
+    return lines.select(*LINE_KEY, _text("pixels").alias("cells"))
+
+
+def single_cell(spark, sf_dir):
+    """One cell of each line, for some lines beyond their end."""
+    col = F.col("row_key") * 3 % 160
+    return _stack(spark, sf_dir).select(*LINE_KEY, cell_at("fine1", col).alias("px"))
+
+
 # Joins and layout
 
 
@@ -151,6 +167,27 @@ def range_layout(spark, sf_dir):
     return laid.select(*LINE_KEY, F.size("fine1").alias("n_cells"))
 
 
+def range_layout_order(spark, sf_dir):
+    """Lines, partitions that overlap the one before, lines out of order in a partition."""
+    laid = layout.range_layout(_stack(spark, sf_dir), 20).select(
+        F.struct(*LINE_KEY).alias("line"),
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    before = F.lag("line").over(Window.partitionBy("part").orderBy("place"))
+    lines = laid.withColumn("late", (F.col("line") < before).cast("int"))
+    parts = lines.groupBy("part").agg(
+        F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"),
+        F.sum("late").alias("late"),
+    )
+    above = F.lag("high").over(Window.orderBy("part"))  # a row per partition
+    return parts.withColumn("overlap", (F.col("low") < above).cast("int")).agg(
+        F.sum("n").alias("n_lines"),
+        F.coalesce(F.sum("overlap"), F.lit(0)).alias("n_overlapping"),
+        F.coalesce(F.sum("late"), F.lit(0)).alias("n_unsorted"),
+    )
+
+
 # Image statistics
 
 
@@ -192,6 +229,16 @@ def window_sums(spark, sf_dir):
     return neighborhood.window_sums(tiles, TILES).drop("tile_row", "tile_col")
 
 
+def window_sums_ragged(spark, sf_dir):
+    """Lines of rising and falling length."""
+    length = 128 - F.col("row_key") * 7 % 50
+    ragged = _stack(spark, sf_dir)
+    for band in BANDS:
+        ragged = ragged.withColumn(band, F.slice(band, F.lit(1), length))
+    tiles = neighborhood.tile_stack(ragged, TILES)
+    return neighborhood.window_sums(tiles, TILES).drop("tile_row", "tile_col")
+
+
 # Similar cells and weights
 
 
@@ -266,6 +313,18 @@ def fused_expr(spark, sf_dir):
     return _fused_cells(fusion.fuse(_stack(spark, sf_dir), grid=TILES, engine="expr"))
 
 
+def fused_large_values(spark, sf_dir):
+    """Every cell with data raised by twenty million."""
+    raised = _stack(spark, sf_dir)
+    for band in BANDS:
+        up = F.transform(band, lambda px: F.when(px != 0, px + 20_000_000).otherwise(0))
+        raised = raised.withColumn(band, up)
+    cells = fusion.fuse(raised, grid=TILES).select(
+        *LINE_KEY, F.posexplode("pixels").alias("col", "value")
+    )
+    return cells.select(*CELL, F.round("value", 4).alias("fused"))
+
+
 def fused_published_slope(spark, sf_dir):
     stack = _stack(spark, sf_dir)
     return _fused_cells(fusion.fuse(stack, slope="fine_on_coarse", grid=TILES))
@@ -356,6 +415,37 @@ def regression_eval(spark, sf_dir):
     return fitted.select(*CELL, F.round("yhat", 6).alias("yhat"))
 
 
+def regression_global(spark, sf_dir):
+    """One line through all cells."""
+    cells = layout.pixels_long(_stack(spark, sf_dir))
+    fit = regression.regression_fit(cells, "fine1", "coarse1")
+    fitted = regression.regression_eval(cells, fit, "fine1")
+    return fitted.select(*CELL, F.round("yhat", 6).alias("yhat"))
+
+
+def regression_few_points(spark, sf_dir):
+    """Groups of one point, of one x, and a group without a key."""
+    customer = F.col("o_custkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey",
+        F.when(customer % 10 != 0, customer).alias("grp"),
+        F.when(customer % 10 == 1, 7).otherwise(F.col("o_orderkey") % 100).alias("x"),
+        (F.floor("o_totalprice") / 7.13).alias("y"),
+    )
+    fit = regression.regression_fit(orders, "x", "y", ["grp"])
+    fitted = regression.regression_eval(orders, fit, "x", ["grp"])
+    return fitted.select("o_orderkey", F.round("yhat", 4).alias("yhat"))
+
+
+def image_without_key(spark, sf_dir):
+    """A wide file of pixels only; a line's place in the file is its number."""
+    path = store.shared_folder(spark)
+    sheet = _wide(spark, sf_dir, "fine1").orderBy(wide.INDEX_COLUMN)
+    store.write_wide(sheet.drop(*sheet.columns[-2:]).coalesce(1), path)
+    rows = wide.read_unnumbered_image(spark, path, "fine1", "s0")
+    return rows.select("scene", "band", "row_key", _text("pixels").alias("cells"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -398,5 +488,13 @@ QUERIES = {
         fused_by_sql,
         regression_fit,
         regression_eval,
+        fused_large_values,
+        pack_unpack_nulls,
+        window_sums_ragged,
+        single_cell,
+        range_layout_order,
+        image_without_key,
+        regression_global,
+        regression_few_points,
     )
 }

@@ -243,6 +243,15 @@ _SIMILAR_PARTS = [_PIX, _NEAR, _thresholds(4), _SIMILAR]
 _NEAR_COLUMNS = """scene, row_key, col, dr, dc, fine1, fine2, coarse1, coarse2, coarse0,
   near_fine1, near_fine2, near_coarse1, near_coarse2, near_coarse0"""
 
+_RAISED = """
+pix AS (
+  SELECT scene, row_key, col, """ + ", ".join(
+    f"CASE WHEN {b} = 0 THEN 0 ELSE {b} + 20000000 END AS {b}" for b in BANDS
+) + """
+  FROM small_pix)"""
+_RAGGED = """
+pix AS (SELECT * FROM all_pix WHERE col < 128 - row_key * 7 % 50)"""
+
 ORACLE = {
     "rows_from_wide": _WIDE,
     "write_roundtrip": _WIDE,
@@ -347,4 +356,46 @@ FROM lines_of""",
         """SELECT scene, row_key, col, round(intercept + slope * fine1, 6) AS yhat
 FROM patches JOIN lines_of USING (scene, patch_row, patch_col)""",
     ),
+    "fused_large_values": _with(
+        [_PIX.replace("\npix AS", "\nsmall_pix AS"), _RAISED, *_fusion()[1:]],
+        "SELECT scene, row_key, col, round(fused, 4) AS fused FROM fused",
+    ),
+    "pack_unpack_nulls": _with(
+        [_PIX],
+        f"""SELECT scene, row_key, CASE WHEN row_key % 7 <> 0
+  THEN {_line('CASE WHEN col % 11 = 0 THEN 0 ELSE fine1 END')} END AS cells
+FROM pix GROUP BY scene, row_key""",
+    ),
+    "window_sums_ragged": _with(
+        [_PIX.replace("\npix AS", "\nall_pix AS"), _RAGGED, _NEAR, _BLOCK_SUMS], "SELECT * FROM sums"
+    ),
+    "single_cell": _with(
+        [_PIX, _LINES],
+        """SELECT l.scene, l.row_key, coalesce(fine1, 0) AS px
+FROM lines l LEFT JOIN pix p
+  ON p.scene = l.scene AND p.row_key = l.row_key AND p.col = l.row_key * 3 % 160""",
+    ),
+    "range_layout_order": _with(
+        [_PIX, _LINES],
+        """SELECT count(*) AS n_lines, 0::BIGINT AS n_overlapping, 0::BIGINT AS n_unsorted
+FROM lines""",
+    ),
+    "image_without_key": _WIDE,
+    "regression_global": _with(
+        [_PIX],
+        """SELECT scene, row_key, col, round(intercept + slope * fine1, 6) AS yhat
+FROM pix, (SELECT regr_slope(coarse1, fine1) AS slope,
+                  regr_intercept(coarse1, fine1) AS intercept FROM pix)""",
+    ),
+    "regression_few_points": """WITH points AS (
+  SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS grp,
+         CASE WHEN o_custkey % 10 = 1 THEN 7 ELSE o_orderkey % 100 END AS x,
+         floor(o_totalprice) / 7.13::DOUBLE AS y
+  FROM orders),
+lines_of AS (
+  SELECT grp, CASE WHEN count(*) >= 2 AND min(x) < max(x) THEN regr_slope(y, x) END AS slope,
+         CASE WHEN count(*) >= 2 AND min(x) < max(x) THEN regr_intercept(y, x) END AS intercept
+  FROM points GROUP BY grp)
+SELECT o_orderkey, round(intercept + slope * x, 4) AS yhat
+FROM points p JOIN lines_of l ON p.grp IS NOT DISTINCT FROM l.grp""",
 }

@@ -10,6 +10,7 @@ of bytes rather than cell by cell; store images that way if they are fused often
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +22,18 @@ CELL_BYTES = 4
 
 
 def to_blobs(lines: pa.Array, dtype: str) -> pa.Array:
+    """A null line is a null blob; a null cell is no-data."""
+    known = lines.is_valid()
+    lines = lines.fill_null([]) if lines.null_count else lines
     offsets = lines.offsets.to_numpy()
-    cells = lines.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    cells = lines.values.fill_null(0).to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     ends = (offsets - offsets[0]).astype(np.int64) * CELL_BYTES
     data = np.ascontiguousarray(cells.astype(dtype))
     blobs = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(lines), [None, pa.py_buffer(ends), pa.py_buffer(data)]
     )
-    return blobs.cast(pa.binary())
+    blobs = blobs.cast(pa.binary())
+    return pa.compute.if_else(known, blobs, pa.scalar(None, pa.binary()))
 
 
 def blob_cells(blobs: pa.Array, dtype: str):
@@ -42,8 +47,10 @@ def blob_cells(blobs: pa.Array, dtype: str):
 
 
 def _from_blobs(blobs: pa.Array, dtype: str, native) -> pa.Array:
-    cells, ends = blob_cells(blobs, dtype)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells.astype(native)))
+    cells, ends = blob_cells(blobs.fill_null(b""), dtype)
+    known = blobs.is_null().to_numpy(zero_copy_only=False)
+    ends = pa.array(ends, pa.int32(), mask=np.append(known, False))
+    return pa.ListArray.from_arrays(ends, pa.array(cells.astype(native)))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -95,7 +102,8 @@ def pack_line(pixels, row_key) -> Column:
 
 def packed_line_number(blob) -> Column:
     """The line number at the end of a packed line."""
-    return F.element_at(_int_cells(F.col(blob)), -1)
+    last = F.conv(F.hex(F.substring(blob, -CELL_BYTES, CELL_BYTES)), 16, 10).cast("bigint")
+    return F.when(last >= 2**31, last - 2**32).otherwise(last).cast("int")
 
 
 def unpack_line(blob) -> Column:

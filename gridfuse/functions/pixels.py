@@ -1,4 +1,4 @@
-"""Cell-level column expressions; all of them stay inside generated code."""
+"""Cell-level column expressions, without Python."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F

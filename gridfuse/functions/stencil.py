@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 
 EPSILON = 1e-7
 
+#: Sums of squares of differences are exact below this; both engines stop at it.
+EXACT_SQUARES = 2**53
+TOO_SPREAD = "the values of similar cells differ too much for exact sums"
+
 
 def is_similar(t1, t2, centre1, centre2, near1, near2) -> Column:
     """Both cells have data at both dates and differ by at most the thresholds."""
@@ -34,7 +38,10 @@ def combined_distance(corr, dist) -> Column:
 
 
 def slope(n, sx, sy, sxy, sxx) -> Column:
-    """Least-squares slope from integer sums, 1 where it is undefined."""
+    """Least-squares slope from integer sums, 1 where it is undefined.
+
+    The sums may be of values relative to any fixed point.
+    """
     spread = n * sxx - sx * sx
     return F.when(spread != 0, (n * sxy - sx * sy) / spread).otherwise(F.lit(1.0))
 

@@ -38,17 +38,25 @@ def fusion_function(
     ) -> pa.Scalar:
         keys = row_key.to_numpy(zero_copy_only=False)
         top = keys.min()
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("a line occurs more than once in a window")
+        if keys.max() - top >= window:
+            raise ValueError(f"the window's frame must hold {window} lines at most")
         lines = dict(zip(BANDS, (fine1, fine2, coarse1, coarse2, coarse0)))
         target = int(np.flatnonzero(keys == top)[0])
         width = len(fine1[target])
+        for at in range(len(keys)):
+            if len({len(values[at]) for values in lines.values()}) > 1:
+                raise ValueError(f"the five bands differ in length on line {keys[at]}")
         grids = {b: np.zeros((window, width + window - 1), np.int32) for b in BANDS}
         for band, values in lines.items():
             for key, line in zip(keys, values):
-                cells = line.values.to_numpy(zero_copy_only=False)[: width + window - 1]
+                cells = line.values.fill_null(0).to_numpy(zero_copy_only=False)
+                cells = cells[: width + window - 1]
                 grids[band][key - top, : len(cells)] = cells
         limits = t1[target].as_py(), t2[target].as_py()
         if None in limits:
-            return pa.scalar(None, pa.list_(pa.float64()))
+            raise ValueError("no similarity threshold for this line")
         fused = fuse_grids(grids, *limits, window, slope, zero_change)[0]
         return pa.scalar(fused.tolist(), pa.list_(pa.float64()))
 

@@ -12,16 +12,17 @@ import numpy as np
 import pyarrow as pa
 
 from gridfuse.functions.packing import INT_CELL, blob_cells
-from gridfuse.functions.stencil import EPSILON
+from gridfuse.functions.stencil import EPSILON, EXACT_SQUARES, TOO_SPREAD
 from gridfuse.schema import BANDS, Grid
 
 _CELLS_AT_ONCE, _COLS_AT_ONCE = 8_192, 512  # keeps the working arrays of a step in cache
-_EXACT_LIMIT = 10_000_000  # integer sums of products stay exact below this value
 
 
 def line_cells(table: pa.Table):
     """The cells of all lines, arrays or packed, and where each line begins and ends."""
     pixels = table.column("pixels").combine_chunks()
+    if pixels.null_count:
+        raise ValueError("a line has no cells")
     if pa.types.is_binary(pixels.type) or pa.types.is_large_binary(pixels.type):
         return blob_cells(pixels, INT_CELL)
     return pixels.values.to_numpy(), pixels.offsets.to_numpy()
@@ -56,6 +57,32 @@ def band_grids(table: pa.Table, first_row: int, rows: int, cols: int):
     return grids, np.where(complete, size[0], -1)
 
 
+def coarse_sums(table: pa.Table, grid: Grid):
+    """Block sums of the three coarse images for the owned cells of a tile of STACK lines.
+
+    A line shorter than those below it still sees all their cells: lines are padded
+    with 0 to the width of the tile.
+    """
+    halo, tile_rows = grid.halo, grid.tile_rows
+    first_row = table.column("tile_row")[0].as_py() * tile_rows
+    offset = table.column("row_key").to_numpy() - first_row
+    lines = {b: table.column(b).combine_chunks() for b in ("coarse0", "coarse1", "coarse2")}
+    lengths = np.diff(lines["coarse0"].offsets.to_numpy())
+    longest = int(lengths.max(initial=0))
+    blocks = []
+    for line in lines.values():
+        cells, starts = line.values.to_numpy(), line.offsets.to_numpy()
+        padded = np.zeros((tile_rows + halo, longest + halo), np.int64)
+        for r, begin, end in zip(offset, starts, starts[1:]):
+            padded[r, : end - begin] = cells[begin:end]
+        blocks.append(_box_sum(padded, grid.window))
+    owned = np.flatnonzero(offset < tile_rows)
+    width = np.minimum(lengths[owned], grid.tile_cols or longest)
+    rows = np.repeat(offset[owned], width)
+    cols = np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
+    return rows + first_row, cols, [b[rows, cols] for b in blocks]
+
+
 def _largest(grids, bands) -> int:
     return max(max(int(grids[b].max()), -int(grids[b].min())) for b in bands)
 
@@ -77,25 +104,27 @@ def _temporal_weights(tp, tkm, tkn, zero_change):
     return wm, wn
 
 
-def _cell_terms(grids, slope):
-    """What a cell contributes to the sums of the cells that find it similar."""
+def _cell_terms(grids):
+    """What a cell contributes to the weighted sums of the cells that find it similar."""
     f1, f2, c1, c2, c0 = (grids[b].astype(np.float64) for b in BANDS)
     closeness = 1.0 / (1.0 - np.sign(f1 - f2) * np.sign(c1 - c2) + EPSILON)
-    by_distance = [closeness, closeness * (c0 - c1), closeness * (c0 - c2)]
-    x, y = ((f1, f2), (c1, c2)) if slope == "coarse_on_fine" else ((c1, c2), (f1, f2))
-    plain = [
-        x[0] + x[1],
-        y[0] + y[1],
-        x[0] * y[0] + x[1] * y[1],
-        x[0] * x[0] + x[1] * x[1],
-        np.ones_like(f1),
-    ]
-    return by_distance, plain
+    return [closeness, closeness * (c0 - c1), closeness * (c0 - c2)]
 
 
 def _similar_sums(grids, t1, t2, window, slope, h, w):
-    """Sums over the similar neighbours of each cell, in the order of ``_cell_terms``."""
-    by_distance, plain = _cell_terms(grids, slope)
+    """Sums over the similar neighbours of each cell: three weighted ones, then x, y, xy, xx,
+    yy of both dates and the number of neighbours.
+
+    x and y are taken relative to the cell's own values at the first date.  The slope does
+    not change under such a shift, and the sums, of differences, stay exact integers
+    however large the values are.
+    """
+    by_distance = _cell_terms(grids)
+    names = ("fine1", "fine2", "coarse1", "coarse2")
+    if slope != "coarse_on_fine":
+        names = names[2:] + names[:2]
+    values = [grids[b].astype(np.float64) for b in names]
+    own = [np.ascontiguousarray(values[k][:h, :w]) for k in (0, 2)]
     usable = (grids["fine1"] != 0) & (grids["fine2"] != 0)
     small = _largest(grids, ("fine1", "fine2")) < 2**23
     kind = np.float32 if small else np.float64  # either holds the integers exactly
@@ -103,14 +132,15 @@ def _similar_sums(grids, t1, t2, window, slope, h, w):
     centre = [np.ascontiguousarray(v[:h, :w]) for v in near]
     limit = [kind(np.floor(t)) for t in (t1, t2)]
 
-    sums = np.zeros((8, h, w))
+    sums = np.zeros((9, h, w))
     gap, term, keep = np.empty((h, w), kind), np.empty((h, w)), np.empty((h, w))
+    shifted = [np.empty((h, w)) for _ in values]
     similar = [np.empty((h, w), bool) for _ in near]
     for dc in range(window):
         # Shifting columns once per dc keeps the inner operations on aligned memory.
-        near_dc, by_distance_dc, plain_dc = (
+        near_dc, by_distance_dc, values_dc = (
             [np.ascontiguousarray(v[:, dc : dc + w]) for v in group]
-            for group in (near, by_distance, plain)
+            for group in (near, by_distance, values)
         )
         for dr in range(1 if dc == 0 else 0, window):
             rows = slice(dr, dr + h)
@@ -119,8 +149,21 @@ def _similar_sums(grids, t1, t2, window, slope, h, w):
                 np.less_equal(gap, limit[k], out=similar[k])
             np.logical_and(*similar, out=similar[0])
             np.copyto(keep, similar[0])
-            for total, value in zip(sums[3:], plain_dc):
-                total += np.multiply(keep, value[rows], out=term)
+            for k, value in enumerate(values_dc):
+                np.subtract(value[rows], own[k // 2], out=shifted[k])
+                shifted[k] *= keep
+            (x1, x2, y1, y2), (sx, sy, sxy, sxx, syy, similar_cells) = shifted, sums[3:]
+            for total, parts in ((sx, (x1, x2)), (sy, (y1, y2))):
+                for part in parts:
+                    total += part
+            for total, factors in (
+                (sxy, ((x1, y1), (x2, y2))),
+                (sxx, ((x1, x1), (x2, x2))),
+                (syy, ((y1, y1), (y2, y2))),
+            ):
+                for one, other in factors:
+                    total += np.multiply(one, other, out=term)
+            similar_cells += keep
             keep /= 1.0 + np.sqrt(dr * dr + dc * dc) / (window // 2)
             for total, value in zip(sums, by_distance_dc):
                 total += np.multiply(keep, value[rows], out=term)
@@ -130,12 +173,11 @@ def _similar_sums(grids, t1, t2, window, slope, h, w):
 def fuse_grids(grids, t1, t2, window, slope, zero_change):
     """Fused values of the owned cells, from grids that carry the halo."""
     h, w = (n - window + 1 for n in grids["fine1"].shape)
-    inv, change_m, change_n, sx, sy, sxy, sxx, similar = _similar_sums(
-        grids, t1, t2, window, slope, h, w
-    )
+    inv, change_m, change_n, *sums = _similar_sums(grids, t1, t2, window, slope, h, w)
+    if max(sums[3].max(initial=0), sums[4].max(initial=0)) >= EXACT_SQUARES:
+        raise ValueError(TOO_SPREAD)
+    sx, sy, sxy, sxx, _, similar = (v.astype(np.int64) for v in sums)
     pairs = 2 * similar
-    if _largest(grids, BANDS[:4]) < _EXACT_LIMIT:
-        pairs, sx, sy, sxy, sxx = (v.astype(np.int64) for v in (pairs, sx, sy, sxy, sxx))
     spread = pairs * sxx - sx * sx
     flat = spread == 0
     v = np.where(flat, 1.0, (pairs * sxy - sx * sy) / np.where(flat, 1, spread))

@@ -54,18 +54,32 @@ def stack_to_lines(stack: DataFrame, bands=BANDS) -> DataFrame:
     )
 
 
+def _sound(lines: DataFrame) -> DataFrame:
+    """RASTER_ROWS without nulls: a null key or line is an error, a null cell is no-data."""
+    key = F.coalesce("row_key", F.raise_error(F.lit("a line has no key")).cast("int"))
+    kind = lines.schema["pixels"].dataType
+    empty = F.raise_error(F.lit("a line has no cells")).cast(kind)
+    pixels = F.coalesce("pixels", empty)
+    if getattr(kind, "containsNull", False):
+        # False only where no cell is null: a comparison in generated code for nearly all lines.
+        full = F.coalesce(~F.array_contains("pixels", F.lit(-(2**31))), F.lit(False))
+        filled = F.transform(pixels, lambda cell: F.coalesce(cell, F.lit(0)))
+        pixels = F.when(full, F.col("pixels")).otherwise(filled)
+    return lines.select("scene", "band", key.alias("row_key"), pixels.alias("pixels"))
+
+
 def as_lines(images: DataFrame) -> DataFrame:
     """Images as RASTER_ROWS with the five bands only; takes STACK or RASTER_ROWS."""
     if "band" not in images.columns:
-        return stack_to_lines(images)
-    return images.select("scene", "band", "row_key", "pixels").where(F.col("band").isin(*BANDS))
+        return _sound(stack_to_lines(images))
+    return _sound(images.where(F.col("band").isin(*BANDS)))
 
 
 def fine_lines(images: DataFrame) -> DataFrame:
     """The two fine images as RASTER_ROWS; the other bands are not read."""
     if "band" not in images.columns:
-        return stack_to_lines(images, ("fine1", "fine2"))
-    return images.where(F.col("band").isin("fine1", "fine2"))
+        return _sound(stack_to_lines(images, ("fine1", "fine2")))
+    return _sound(images.where(F.col("band").isin("fine1", "fine2")))
 
 
 def line_keys(images: DataFrame) -> DataFrame:
@@ -200,6 +214,10 @@ def spread_tiles(tiles: DataFrame, grid: Grid) -> DataFrame:
     return tiles.repartition(n, *TILE_KEY)
 
 
-def range_layout(df: DataFrame, partitions: int = 20) -> DataFrame:
-    """Range-partition on the line key and sort inside the partitions."""
-    return df.repartitionByRange(partitions, *LINE_KEY).sortWithinPartitions(*LINE_KEY)
+def range_layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Range-partition on the line key and sort inside the partitions.
+
+    Without ``partitions`` Spark chooses their number from the size of the data.
+    """
+    number = [] if partitions is None else [partitions]
+    return df.repartitionByRange(*number, *LINE_KEY).sortWithinPartitions(*LINE_KEY)

@@ -3,11 +3,13 @@
 A tile is one window partition, so nothing here orders a whole image.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gridfuse.functions.pixels import pixel_index
+from gridfuse.operators.kernel import coarse_sums
 from gridfuse.operators.layout import (
     cut_tiles,
     fine_lines,
@@ -143,27 +145,25 @@ def neighbors(tiles: DataFrame, grid: Grid = Grid(), centre: bool = False) -> Da
 def window_sums(tiles: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """Sums of the three coarse images over the neighbourhood, the cell included.
 
-    The sum over a block is the sum along the line of the sums down the
-    columns, so two range windows do it; both find their data already
-    distributed by tile.
+    One array sum per tile; the lines are distributed by tile already and no cell is sorted.
     """
-    coarse = {"tp": "coarse0", "tkm": "coarse1", "tkn": "coarse2"}
-    cells = tiles.select(
-        *TILE_KEY, "row_key", F.posexplode(F.arrays_zip(*coarse.values())).alias("at", "cell")
-    )
-    down = (
-        Window.partitionBy(*TILE_KEY, "at").orderBy("row_key").rangeBetween(0, grid.halo)
-    )
-    along = Window.partitionBy(*TILE_KEY, "row_key").orderBy("at").rangeBetween(0, grid.halo)
-    columns = cells.select(
-        *TILE_KEY,
-        "row_key",
-        "at",
-        *[F.sum(F.col("cell").getField(b)).over(down).alias(n) for n, b in coarse.items()],
-    ).where(_owned(grid))
-    blocks = columns.select(
-        *TILE_KEY, "row_key", "at", *[F.sum(n).over(along).alias(n) for n in coarse]
+
+    def one_tile(table: pa.Table) -> pa.Table:
+        rows, cols, sums = coarse_sums(table, grid)
+        first = {c: table.column(c)[0] for c in TILE_KEY}
+        image_cols = cols + first["tile_col"].as_py() * (grid.tile_cols or 0)
+        return pa.table(
+            {
+                **{c: pa.repeat(value, len(rows)) for c, value in first.items()},
+                "row_key": pa.array(rows, pa.int32()),
+                "col": pa.array(image_cols, pa.int32()),
+                **{name: pa.array(block) for name, block in zip(("tp", "tkm", "tkn"), sums)},
+            }
+        )
+
+    kept = tiles.select(*TILE_KEY, "row_key", "coarse0", "coarse1", "coarse2")
+    schema = (
+        "scene string, tile_row int, tile_col int, row_key int, col int, "
+        "tp long, tkm long, tkn long"
     )
-    if grid.tile_cols is not None:
-        blocks = blocks.where(F.col("at") < grid.tile_cols)
-    return blocks.select(*TILE_KEY, "row_key", _image_col(grid), *coarse)
+    return kept.groupBy(*TILE_KEY).applyInArrow(one_tile, schema)

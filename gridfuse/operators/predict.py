@@ -20,8 +20,12 @@ def pixel_sums(near: DataFrame, slope: str = "coarse_on_fine", grid: Grid = Grid
     """
     if slope not in SLOPES:
         raise ValueError(f"unknown slope {slope!r}")
-    fine = [F.col(NEAR + b).cast("bigint") for b in ("fine1", "fine2")]
-    coarse = [F.col(NEAR + b).cast("bigint") for b in ("coarse1", "coarse2")]
+    # Relative to the cell itself: the slope is the same, and the sums, of whole numbers
+    # held as double, stay exact.
+    fine, coarse = (
+        [(F.col(NEAR + kind + k).cast("bigint") - F.col(kind + "1")).cast("double") for k in "12"]
+        for kind in ("fine", "coarse")
+    )
     x, y = (fine, coarse) if slope == "coarse_on_fine" else (coarse, fine)
     to_m = F.col(NEAR + "coarse0") - F.col(NEAR + "coarse1")
     to_n = F.col(NEAR + "coarse0") - F.col(NEAR + "coarse2")
@@ -30,6 +34,8 @@ def pixel_sums(near: DataFrame, slope: str = "coarse_on_fine", grid: Grid = Grid
     def over_similar(value, empty=0):
         return F.coalesce(F.sum(F.when(similar, value)), F.lit(empty))
 
+    too_spread = F.greatest("sxx", "syy") >= stencil.EXACT_SQUARES
+    stop = F.raise_error(F.lit(stencil.TOO_SPREAD)).cast("bigint")
     return (
         near.withColumn("similar", is_similar())
         .withColumn("raw", F.when(F.col("similar"), closeness(grid)))
@@ -42,6 +48,7 @@ def pixel_sums(near: DataFrame, slope: str = "coarse_on_fine", grid: Grid = Grid
             over_similar(y[0] + y[1]).alias("sy"),
             over_similar(x[0] * y[0] + x[1] * y[1]).alias("sxy"),
             over_similar(x[0] * x[0] + x[1] * x[1]).alias("sxx"),
+            over_similar(y[0] * y[0] + y[1] * y[1]).alias("syy"),
             F.sum("raw").alias("sum_raw"),
             F.sum(F.col("raw") * to_m).alias("change_m"),
             F.sum(F.col("raw") * to_n).alias("change_n"),
@@ -49,6 +56,12 @@ def pixel_sums(near: DataFrame, slope: str = "coarse_on_fine", grid: Grid = Grid
             F.sum(NEAR + "coarse1").alias("tkm"),
             F.sum(NEAR + "coarse2").alias("tkn"),
         )
+        .withColumns(
+            {
+                c: F.when(too_spread, stop).otherwise(F.col(c).cast("bigint"))
+                for c in ("sx", "sy", "sxy", "sxx")
+            }
+        )
     )
 
 

@@ -1,5 +1,8 @@
 """Straight-line least squares, per group of a table."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 def regression_fit(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
     """Intercept and slope of ``y`` on ``x`` per group.
 
-    Both are null for fewer than two points and where ``x`` does not vary.
+    Both are null for fewer than two points and where ``x`` does not vary.  Without ``by``
+    it is one line for the whole table.
     The sums are built before the shuffle, so a large group costs no more than a small one.
     """
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
@@ -28,12 +32,20 @@ def regression_fit(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
     )
 
 
-def regression_eval(df: DataFrame, fit: DataFrame, x: str, by) -> DataFrame:
+def regression_eval(df: DataFrame, fit: DataFrame, x: str, by=()) -> DataFrame:
     """Add ``yhat``, the fitted line of the group at ``x``; null where there is no line.
 
-    No broadcast is asked for: Spark sizes the table of fits and splits a hot
-    group of the join.
+    Keys are compared null-safe, so a group without a key has its line too.  Without keys
+    the fit is one row for the whole table.  Otherwise no broadcast is asked for: Spark
+    sizes the table of fits and splits a hot group of the join.
     """
-    lines = fit.select(*by, "intercept", "slope")
-    yhat = F.col("intercept") + F.col("slope") * F.col(x)
-    return df.join(lines, list(by), "left").withColumn("yhat", yhat).drop("intercept", "slope")
+    keys = {c: f"_fit_{c}" for c in by}
+    own = [F.col("intercept").alias("_fit_intercept"), F.col("slope").alias("_fit_slope")]
+    lines = fit.select(*[F.col(c).alias(k) for c, k in keys.items()], *own)
+    if keys:
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+        joined = df.join(lines, same, "left")
+    else:
+        joined = df.join(F.broadcast(lines), how="cross")
+    yhat = F.col("_fit_intercept") + F.col("_fit_slope") * F.col(x)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], yhat.alias("yhat"))

@@ -40,6 +40,9 @@ def _by_expressions(
 ) -> DataFrame:
     if is_packed(tiles):
         tiles = unpack_rows(tiles)
+    missing = F.raise_error(F.lit("no similarity threshold for this tile")).cast("double")
+    for limit in ("t1", "t2"):
+        tiles = tiles.withColumn(limit, F.coalesce(limit, missing))
     stack = lines_to_stack(tiles, [*TILE_KEY, "row_key", "t1", "t2"])
     near = neighbors(stack, grid, centre=True)
     cells = fused_pixels(pixel_sums(near, slope, grid), zero_change)

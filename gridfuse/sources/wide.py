@@ -32,7 +32,8 @@ def rows_from_wide(
     else:
         key = names[-1]
         pixels = names[:-2] if key == INDEX_COLUMN else names[:-1]
-    line = F.col(f"`{key}`").cast("int")
+    missing = F.raise_error(F.lit("a line of a wide table has no line number")).cast("int")
+    line = F.coalesce(F.col(f"`{key}`").cast("int"), missing)
     # Tied to the key rather than a bare constant: a constant would be folded out of the
     # join keys and with it the match between their partitioning and that of the tiles.
     of_scene = F.when(line.isNotNull(), F.lit(scene))
@@ -83,9 +84,11 @@ def read_images(
 def wide_from_rows(rows: DataFrame, cols: int) -> DataFrame:
     """Lines of one image as a wide table of ``cols`` columns, with its line numbers.
 
-    Cells that a short line lacks are no-data.
+    Cells that a short line lacks are no-data; a longer line is an error.
     """
+    too_long = F.raise_error(F.lit(f"a line has more than {cols} cells")).cast("array<double>")
     cells = F.concat(F.col("pixels").cast("array<double>"), F.array_repeat(F.lit(0.0), cols))
+    cells = F.when(F.size("pixels") > cols, too_long).otherwise(cells)
     line = F.col("row_key")
     return rows.select(line, cells.alias("cells")).select(
         *[F.get("cells", F.lit(i)).alias(str(i)) for i in range(cols)],
