@@ -7,9 +7,12 @@ rows before an exchange, and a join decides afterwards.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridfuse.llm.common import map_rows
+
 BITS = 1 << 23
 
 
@@ -30,3 +33,16 @@ def bit_set(df: DataFrame, column: str) -> np.ndarray:
 def in_set(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     at = hashes & np.uint64(BITS - 1)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def some_rows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows of docs whose ``doc_id`` may be in a set of ids; none with a null id."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+        keep = in_set(ids.view(np.uint64), bits) & batch.column("doc_id").is_valid().to_numpy(
+            zero_copy_only=False
+        )
+        return batch.filter(pa.array(keep))
+
+    return map_rows(docs, rows, docs.schema)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfuse.llm.bits import bit_set, some_rows
 from gridfuse.llm.common import Workspace, map_rows
 from gridfuse.llm.components import component_stars
 from gridfuse.llm.words import WHITE, distinct_sets, find_words, mix, shingles, text_chunks, word_bytes
@@ -36,7 +37,7 @@ WIDTH, PERCENT = 5, 75
 TABLES, ROWS = 10, 2
 #: Buckets of a shared rare shingle up to ``SMALL`` members are finished at once; in larger
 #: ones ``LEADERS`` members meet all others in a round.
-SMALL, LEADERS = 1024, 64
+SMALL, LEADERS = 1024, 256
 SIGNATURES = "doc_id long, n long, set_key binary, first array<long>, second array<long>"
 
 _random = np.random.default_rng(20)
@@ -211,13 +212,17 @@ def set_links(members: DataFrame, texts: DataFrame, tables: Workspace) -> DataFr
         if rest.isEmpty():
             return stars
         small, large = rest.where(F.col("c") <= SMALL), rest.where(F.col("c") > SMALL)
-        turn = Window.partitionBy("key").orderBy("id")
-        large = tables.written(large.withColumn("turn", F.row_number().over(turn)))
-        first = large.where(F.col("turn") <= LEADERS)
-        fresh = pairs_between(small, small).unionByName(pairs_between(first, large)).distinct()
+        fresh, last = pairs_between(small, small), large.isEmpty()
+        if not last:
+            turn = Window.partitionBy("key").orderBy("id")
+            large = tables.written(large.withColumn("turn", F.row_number().over(turn)))
+            first = large.where(F.col("turn") <= LEADERS)
+            fresh = fresh.unionByName(pairs_between(first, large)).distinct()
         fresh = tables.written(fresh.join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(fresh)
         stars = component_stars(confirmed(fresh, texts).unionByName(stars), tables)
+        if last:
+            return stars
         # Leaders have met all of their bucket.
         rest = large.where(F.col("turn") > LEADERS).drop("turn", "root", "c")
 
@@ -247,7 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = tables.written(bucket_members(classes))
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     texts = tables.written(
-        docs.select("doc_id", "text")
+        some_rows(docs.select(F.col("doc_id").cast("long"), "text"), bit_set(wanted, "doc_id"))
         .where("text is not null")
         .join(wanted, "doc_id", "left_semi")
         .groupBy(F.col("doc_id").alias("id"))
