@@ -172,16 +172,16 @@ def log_softmax(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def gradient(counts: Iterator[tuple[int, int, int]], weights: np.ndarray) -> np.ndarray:
-    """The gradient of the log likelihood of some (history, cls, n)."""
+def gradient(blobs: Iterator[bytes], weights: np.ndarray) -> np.ndarray:
+    """The gradient of the log likelihood of some (history, cls, n), three integers each."""
     out = np.zeros_like(weights)
-    found = np.array(list(counts), np.int64).reshape(-1, 3)
+    found = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 3)
     known, at = np.unique(found[:, 0], return_inverse=True)
     for begin in range(0, len(known), 4096):
         history = known[begin : begin + 4096]
         own = (at >= begin) & (at < begin + len(history))
         seen = np.zeros((len(history), CLASSES), np.float32)
-        seen[at[own] - begin, found[own, 1]] = found[own, 2]
+        np.add.at(seen, (at[own] - begin, found[own, 1]), found[own, 2])
         features = feature_rows(history // CLASSES, history % CLASSES)
         expected = np.exp(log_softmax(weights, features)) * seen.sum(axis=1, keepdims=True)
         for rows in features:
@@ -189,7 +189,18 @@ def gradient(counts: Iterator[tuple[int, int, int]], weights: np.ndarray) -> np.
     return out
 
 
-def trained_weights(counts: DataFrame) -> np.ndarray:
+def packed_counts(counts: DataFrame) -> DataFrame:
+    """The counts as blobs of integers, dealt by history; a gradient step reads them."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("history", "cls", "n")]
+        blob = np.stack([c.astype(np.int64) for c in columns], axis=1).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["counts"])
+
+    return map_rows(counts.repartition("history"), rows, "counts binary")
+
+
+def trained_weights(counts: DataFrame, tables: Workspace) -> np.ndarray:
     """Gradient steps, each over all counts; ``counts`` is a written table."""
     spark = counts.sparkSession
     last = (F.col("history") % CLASSES).alias("one")
@@ -205,8 +216,7 @@ def trained_weights(counts: DataFrame) -> np.ndarray:
     follow = (seen + 5 * share) / (seen.sum(axis=1, keepdims=True) + 5)
     weights[1 : 1 + CLASSES] = np.log(follow) - np.log(share)
     total = seen.sum()
-    # Histories are dealt once; a step reads the dealt table.
-    rows = counts.repartition("history").rdd.map(tuple)
+    rows = tables.written(packed_counts(counts)).rdd.map(lambda row: bytes(row.counts))
     speed = np.zeros_like(weights)
     for _ in range(STEPS):
         sent = spark.sparkContext.broadcast(weights)  # ROWS * CLASSES numbers
@@ -262,7 +272,7 @@ def fit(train: DataFrame, tables: Workspace) -> tuple[Model, DataFrame]:
     for row in counts.where(F.col("word").isin(top)).collect() if top else []:
         tokens[row.cls] -= row.n
         types[row.cls] -= 1
-    weights = trained_weights(tables.written(class_counts(train, vocabulary)))
+    weights = trained_weights(tables.written(class_counts(train, vocabulary)), tables)
     mass = np.log10(tokens + SMOOTH * (types + 1))
     return Model(vocabulary, weights, mass, n_all, float(np.log10(n_all + SMOOTH * (v_all + 1)))), counts
 

@@ -270,7 +270,7 @@ def test_gradient_is_the_slope_of_the_likelihood():
             total += n * maxent.log_softmax(w.astype(float), rows)[0, cls]
         return total
 
-    slope = maxent.gradient(iter(counts), weights)
+    slope = maxent.gradient(iter([np.array(counts, np.int64).tobytes()]), weights)
     for row, cls in ((0, 7), (1 + 5, 9), (1 + 256 + 3, 7), (1 + 256 + 8, 100)):
         step = np.zeros_like(weights, float)
         step[row, cls] = 1e-4
