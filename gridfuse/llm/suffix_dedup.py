@@ -17,7 +17,8 @@ about 30 that share an anchor, one row each.
    anchor and content, so no task holds a large group.
 
 A row is marked when an equal one comes before it in the order of (document, place); whatever
-the size of a group, it is read as a sorted stream.  Contents are compared by 64-bit hashes
+the size of a group, it is read as a sorted stream, and equal runs of a batch are known as
+repeats before the exchange.  Contents are compared by 64-bit hashes
 among rows with equal 64-bit anchor hashes.
 """
 
@@ -32,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfuse.llm.bits import bit_set, in_set
+from gridfuse.llm.bits import bit_set, some_rows
 from gridfuse.llm.common import Workspace, map_rows
 from gridfuse.llm.words import mix, powers, text_chunks
 
@@ -116,45 +117,65 @@ def pieces(data: np.ndarray, offsets: np.ndarray):
             yield *found[:3], found[3] + (begin << 16)
 
 
+def known_repeats(anchor, content, doc_id, place):
+    """The same rows, those with an equal and earlier one among them marked by a negative
+    place.  They are repeats for certain, so they need no group: an anchor of their own
+    spreads them, and a content that fills whole tables counts once per batch."""
+    key = mix(anchor + content * _ODD)
+    order = np.lexsort((place, doc_id, key))
+    again = np.zeros(len(key), bool)
+    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    spread = mix(doc_id[again].view(np.uint64) * _ODD + place[again].view(np.uint64))
+    anchor, place = anchor.copy(), place.copy()
+    anchor[again] = spread
+    place[again] = ~place[again]
+    return anchor, content, doc_id, place
+
+
 def suffix_runs(docs: DataFrame) -> DataFrame:
+    """Rows of ``RUNS``; a negative place is the complement of that of a known repeat."""
+
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         columns = []
         for first, _, data, offsets in text_chunks(batch.column("text")):
             for anchor, content, text, place in pieces(data, offsets):
                 own = ids[first + text]
-                columns.append((anchor.view(np.int64), content.view(np.int64), own, place))
+                columns.append((anchor, content, own, place))
         if not columns:
             return None
-        arrays = [pa.array(np.concatenate(column), pa.int64()) for column in zip(*columns)]
+        marked = known_repeats(*(np.concatenate(column) for column in zip(*columns)))
+        arrays = [pa.array(column.view(np.int64)) for column in marked]
         return pa.RecordBatch.from_arrays(arrays, names=["anchor", "content", "doc_id", "place"])
 
     return map_rows(docs, rows, RUNS)
 
 
 def first_digit(runs: DataFrame) -> DataFrame:
-    """Runs that repeat an earlier one (``repeated``), and those that stay open."""
+    """Runs that repeat an earlier one (``repeated``), and those that stay open.
+
+    Whether an anchor has several contents is a count before an exchange and a join, which
+    adaptive execution splits where one anchor has many runs.
+    """
     equal = Window.partitionBy("anchor", "content").orderBy("doc_id", "place")
-    group = Window.partitionBy("anchor")
     ranked = runs.withColumn("k", F.row_number().over(equal))
-    ranked = ranked.withColumn("contents", F.sum(F.expr("if(k = 1, 1, 0)")).over(group))
-    return ranked.where("k > 1 or contents > 1").select(
+    repeated = ranked.where("k > 1 or place < 0").select(
+        "anchor",
+        "doc_id",
+        F.expr("if(place < 0, ~place, place)").alias("place"),
+        F.lit(True).alias("repeated"),
+        F.lit(False).alias("large"),
+    )
+    single = ranked.where("k = 1 and place >= 0")
+    shared = single.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
+    still_open = single.join(shared, "anchor").select(
         "anchor",
         "doc_id",
         "place",
-        F.expr("k > 1").alias("repeated"),
+        F.lit(False).alias("repeated"),
         F.expr(f"contents > {LARGE}").alias("large"),
     )
-
-
-def some_texts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The documents that may be in a set of ids."""
-
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)
-        return batch.filter(pa.array(in_set(ids, bits)))
-
-    return map_rows(docs, rows, "doc_id long, text string")
+    return repeated.unionByName(still_open)
 
 
 def window_keys(anchor, ahead, hashes):
@@ -326,12 +347,12 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     texts = own.select("doc_id", "text").where(F.octet_length("text") >= LENGTH)
     first = tables.written(first_digit(suffix_runs(texts)))
     edges = first.where("not repeated").select("anchor", "doc_id", "place", "large")
-    opened = with_bytes(edges, some_texts(texts, bit_set(edges, "doc_id")))
+    opened = with_bytes(edges, some_rows(texts, bit_set(edges, "doc_id")))
     inner = last_digits(opened)
     repeats = tables.written(
         first.where("repeated").select("doc_id", "place").unionByName(inner)
     )
-    parts = removed_parts(some_texts(texts, bit_set(repeats, "doc_id")), repeats)
+    parts = removed_parts(some_rows(texts, bit_set(repeats, "doc_id")), repeats)
     whole = own.select(
         "doc_id",
         "own_id",
