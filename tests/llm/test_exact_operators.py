@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpus import given, lower, odd_rows, table, texts_of
+from corpus import given, lower, odd_rows, prose, table, texts_of
 from gridfuse.llm import suffix_dedup, token_counts
 from gridfuse.llm.decontaminate import contamination
 from gridfuse.llm.pii import masked_documents, span_report
@@ -159,16 +159,17 @@ def test_lines_that_fail_are_removed(spark):
     good = "This sentence has enough ordinary words to be a line of prose."
     more = "Here another sentence follows, and it is ordinary prose as well."
     menu = "home | news | about | contact | login"
-    text = f"{good}\n{menu}\n{more}\n{good}\nRead our Privacy Policy before you go on."
+    rest = "\n".join(prose(k, 12) for k in range(12))
+    text = f"{good}\n{menu}\n{more}\n{good}\nRead our Privacy Policy before you go on.\n{rest}"
     judged = judge(text.encode())
-    assert judged.text.decode() == f"{good}\n{more}"
+    assert judged.text.decode() == f"{good}\n{more}\n{rest}"
     assert judged.kept and judged.n_dup_lines == 1
     assert not judge("\n".join(f"{menu} {k}" for k in range(9)).encode()).kept
     docs = table(spark, [(1, text), (2, "a | b"), (3, None), (None, good)])
     kept = clean_documents(docs)
     assert kept.columns == docs.columns
     rows = {r.doc_id: r.text for r in kept.collect()}
-    assert rows == {1: f"{good}\n{more}", None: good}
+    assert rows == {1: f"{good}\n{more}\n{rest}", None: good}
 
 
 def test_good_documents_are_kept(spark):
@@ -277,7 +278,7 @@ def test_contexts_discover_identifiers(spark):
     rows += [(100 + k, f"Text {k}. My contact number is 0301234-7{k:03d} indeed.") for k in range(3)]
     rows += [(200 + k, f"In 2024{k:03d} nothing of this kind was written.") for k in range(5)]
     found = {r.doc_id: r.spans for r in span_report(table(spark, rows)).collect()}
-    assert all(found[100 + k] == "ctx_phone:26:38" for k in range(3)), found[100]
+    assert all(found[100 + k] == "ctx_phone:29:41" for k in range(3)), found[100]
     assert all(found[200 + k] == "" for k in range(5))
     assert all(found[k].count(":") == 2 for k in range(30))
 
