@@ -37,7 +37,7 @@ WIDTH, PERCENT = 5, 75
 TABLES, ROWS = 10, 2
 #: Buckets of a shared rare shingle up to ``SMALL`` members are finished at once; in larger
 #: ones ``LEADERS`` members meet all others in a round.
-SMALL, LEADERS = 1024, 256
+SMALL, LEADERS = 4096, 256
 SIGNATURES = "doc_id long, n long, set_key binary, first array<long>, second array<long>"
 
 _random = np.random.default_rng(20)
@@ -168,15 +168,15 @@ def prefix_members(texts: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, stars: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their ``root`` and the number
-    ``c`` of the bucket's members."""
+    """Members of buckets that hold several components, with their ``root``, the number ``c``
+    of the bucket's members and its smallest root ``low``."""
     roots = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
     rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     buckets = (
         rooted.groupBy("key")
         .agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low < high")
-        .select("key", "c")
+        .select("key", "c", "low")
     )
     return rooted.join(buckets, "key")
 
@@ -185,14 +185,14 @@ def pairs_between(leaders: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct (u, v) of one bucket and two components that may be similar enough: by size,
     and by what can follow the shingle that they share."""
     left = leaders.select("key", *(F.col(c).alias(f"{c}_u") for c in ("id", "n", "place", "root")))
-    right = members.select("key", "id", "n", "place", "root")
+    right = members.select("key", "id", "n", "place", "root", "low")
     follow = "1 + least(n - place, n_u - place_u)"
     return (
         left.join(right, "key")
-        .where("id_u < id and root_u <> root")
+        .where("root_u <> root and (id_u < id or root = low)")
         .where(near_size("n", "n_u"))
         .where(f"{100 + PERCENT} * ({follow}) >= {PERCENT} * (n + n_u)")
-        .select(F.col("id_u").alias("u"), F.col("id").alias("v"))
+        .select(F.least("id_u", "id").alias("u"), F.greatest("id_u", "id").alias("v"))
         .distinct()
     )
 
@@ -212,7 +212,9 @@ def set_links(members: DataFrame, texts: DataFrame, tables: Workspace) -> DataFr
         if rest.isEmpty():
             return stars
         small, large = rest.where(F.col("c") <= SMALL), rest.where(F.col("c") > SMALL)
-        fresh, last = pairs_between(small, small), large.isEmpty()
+        # One side of a pair is not in the component of the smallest root.
+        fresh = pairs_between(small.where("root <> low"), small)
+        last = large.isEmpty()
         if not last:
             turn = Window.partitionBy("key").orderBy("id")
             large = tables.written(large.withColumn("turn", F.row_number().over(turn)))
@@ -224,7 +226,7 @@ def set_links(members: DataFrame, texts: DataFrame, tables: Workspace) -> DataFr
         if last:
             return stars
         # Leaders have met all of their bucket.
-        rest = large.where(F.col("turn") > LEADERS).drop("turn", "root", "c")
+        rest = large.where(F.col("turn") > LEADERS).drop("turn", "root", "c", "low")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
