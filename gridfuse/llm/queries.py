@@ -13,6 +13,7 @@ from gridfuse.llm.packing import packed
 from gridfuse.llm.pii import span_report
 from gridfuse.llm.quality import quality_report
 from gridfuse.llm.sharding import byte_shards
+from gridfuse.llm.sql import ORACLE as ORACLE
 from gridfuse.llm.suffix_dedup import repeated_bytes
 from gridfuse.llm.token_counts import token_counts
 from gridfuse.llm.toxicity import fit, fold, toxicity_scores
@@ -84,5 +85,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
-
-ORACLE: dict[str, str] = {}

@@ -310,3 +310,13 @@ def test_queries_run_over_all_rows(spark):
     for name in ("op4_token_counts", "op6_quality_rules", "op7_byte_shards", "op9_decontamination"):
         rows = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert rows.select(F.col("doc_id")).distinct().count() == n
+
+
+def test_queries_equal_their_sql(spark):
+    import check_oracle
+    from gridfuse.llm.queries import ORACLE, QUERIES
+
+    tables = check_oracle.open_tables("/root/testdata/sf0.001")
+    for name, sql in ORACLE.items():
+        args = (spark, tables, name, QUERIES[name], sql, "/root/testdata/sf0.001")
+        assert check_oracle.compare(*args) is None
