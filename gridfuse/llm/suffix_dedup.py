@@ -152,30 +152,18 @@ def suffix_runs(docs: DataFrame) -> DataFrame:
 
 
 def first_digit(runs: DataFrame) -> DataFrame:
-    """Runs that repeat an earlier one (``repeated``), and those that stay open.
-
-    Whether an anchor has several contents is a count before an exchange and a join, which
-    adaptive execution splits where one anchor has many runs.
-    """
+    """Runs that repeat an earlier one (``repeated``), and those that stay open."""
     equal = Window.partitionBy("anchor", "content").orderBy("doc_id", "place")
-    ranked = runs.withColumn("k", F.row_number().over(equal))
-    repeated = ranked.where("k > 1 or place < 0").select(
+    group = Window.partitionBy("anchor")
+    ranked = runs.withColumn("repeated", F.expr("place < 0") | (F.row_number().over(equal) > 1))
+    ranked = ranked.withColumn("contents", F.sum(F.expr("if(repeated, 0, 1)")).over(group))
+    return ranked.where("repeated or contents > 1").select(
         "anchor",
         "doc_id",
         F.expr("if(place < 0, ~place, place)").alias("place"),
-        F.lit(True).alias("repeated"),
-        F.lit(False).alias("large"),
-    )
-    single = ranked.where("k = 1 and place >= 0")
-    shared = single.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1")
-    still_open = single.join(shared, "anchor").select(
-        "anchor",
-        "doc_id",
-        "place",
-        F.lit(False).alias("repeated"),
+        "repeated",
         F.expr(f"contents > {LARGE}").alias("large"),
     )
-    return repeated.unionByName(still_open)
 
 
 def window_keys(anchor, ahead, hashes):
