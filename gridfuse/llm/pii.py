@@ -5,7 +5,9 @@ seeds of a bootstrap over lexical contexts.  A pattern is the last word, or the
 before an identifier; an instance is an identifier's text.  Rounds score the bipartite graph
 of patterns and instances: a pattern by the mean score of all distinct instances it
 precedes, an unseen instance by the chance that at least one confident pattern before it
-is right.  An unseen identifier is reported where a confident pattern precedes it.
+is right.  An unseen identifier is reported where a confident pattern precedes it, if its
+digits fit the kind; an address needs none.  A number written with blanks counts as one, and its
+parts are instances too, so that two numbers side by side are not lost.
 
 Only DataFrame and SQL functions.  The texts are read once; what the rounds read are the
 contexts of identifiers, and each round is written.
@@ -27,10 +29,18 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Identifier-shaped: a run of such characters with a digit.
+#: Identifier-shaped: a run of such characters with a digit; groups of digits joined by a single
+#: blank, dot, hyphen, slash or bracket; and whatever is written like an address.
 _PART = "A-Za-z0-9._/@+-"
-SHAPE = rf"(?<![{_PART}])[A-Za-z._/@+-]*+[0-9][{_PART}]*+"
-LEAST_DIGITS, LEAST_CHARS, MOST_CHARS = 4, 6, 64
+_NAME = r"\p{L}\p{N}"
+SHAPES = {
+    "run": rf"(?<![{_PART}])[A-Za-z._/@+-]*+[0-9][{_PART}]*+",
+    "groups": rf"(?<![{_PART}])\+?[(\[]?[0-9]++(?:[)\]]?[\x20\xA0./-]?[(\[]?[0-9]++)++",
+    "address": rf"(?:\G|(?<![{_NAME}._%+'-]))[{_NAME}._%+'-]++@[{_NAME}]++(?:[.-]++[{_NAME}]++)*+",
+}
+LEAST_DIGITS, LEAST_CHARS, MOST_CHARS, MOST_ADDRESS = 4, 6, 64, 320
+#: Groups with blanks have at most so many digits; more are several numbers.
+MOST_DIGITS = {"email": 0, "ip": 12, "card": 19, "phone": 15}
 CONTEXT = 60
 ROUNDS, LEAST_HITS, CONFIDENT = 3, 5.0, 0.8
 
@@ -50,8 +60,8 @@ VALID = {
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, stop, value, before) of all matches; ``before`` ends at the match and
-    begins after the one before it, or ``CONTEXT`` characters back."""
+    """Array of (start, stop, value, before) of all matches; ``before`` is the ``CONTEXT``
+    characters before the match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(
         found,
@@ -63,13 +73,16 @@ def matches(text: Column, pattern: str) -> Column:
     def step(so_far: Column, pair: Column) -> Column:
         start = so_far["at"] + F.length(pair["gap"])
         stop = start + F.length(pair["value"])
-        before = F.right(pair["gap"], F.lit(CONTEXT))
+        size = F.lit(CONTEXT)
+        before = F.right(F.concat(so_far["tail"], F.right(pair["gap"], size)), size)
+        tail = F.right(F.concat(before, F.right(pair["value"], size)), size)
         span = F.struct(
             start.alias("start"), stop.alias("stop"), pair["value"].alias("value"), before.alias("before")
         )
-        return F.struct(stop.alias("at"), F.concat(so_far["out"], F.array(span)).alias("out"))
+        out = F.concat(so_far["out"], F.array(span))
+        return F.struct(stop.alias("at"), tail.alias("tail"), out.alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
     return F.aggregate(pairs, zero, step, lambda so_far: so_far["out"])
 
 
@@ -88,23 +101,49 @@ def base_spans(docs: DataFrame) -> DataFrame:
         found = F.when(needs[kind], matches(F.col("_text"), pattern)).otherwise(none)
         out = out.withColumn(f"_{kind}", found)
         out = out.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, s -> {VALID[kind]})"))
-    out = out.withColumn("_shaped", F.when(digit, matches(F.col("_text"), SHAPE)).otherwise(none))
     taken = "concat(_email, _ip, _card, _phone)"
-    keep = (
-        f"length({_DIGITS}) >= {LEAST_DIGITS} and length(s.value) between {LEAST_CHARS} and "
-        f"{MOST_CHARS} and not exists({taken}, b -> b.start < s.stop and s.start < b.stop)"
+    free = f"not exists({taken}, b -> b.start < s.stop and s.start < b.stop)"
+    number = (
+        f"length({_DIGITS}) >= {LEAST_DIGITS} and length(s.value) between {LEAST_CHARS} and {MOST_CHARS}"
     )
-    return out.withColumn("_shaped", F.expr(f"filter(_shaped, s -> {keep})")).drop("_text")
+    keep = {
+        "run": number,
+        "groups": f"{number} and length({_DIGITS}) <= {max(MOST_DIGITS.values())}",
+        "address": f"length(s.value) <= {MOST_ADDRESS}",
+    }
+    for shape, pattern in SHAPES.items():
+        possible = needs["email"] if shape == "address" else digit
+        found = F.when(possible, matches(F.col("_text"), pattern)).otherwise(none)
+        out = out.withColumn(f"_{shape}", found)
+        out = out.withColumn(f"_{shape}", F.expr(f"filter(_{shape}, s -> {keep[shape]} and {free})"))
+    shaped = F.concat(*[f"_{shape}" for shape in SHAPES])
+    return out.withColumn("_shaped", shaped).drop("_text", *[f"_{shape}" for shape in SHAPES])
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """(row, start, stop, value, kind, pattern) of seeds, and of shaped ones with no kind."""
-    fields = "s.start, s.stop, s.value, s.before"
+    """(row, start, stop, value, kind, inner, pattern) of seeds, and of shaped ones with no kind.
+
+    The context begins where the identifiers before have ended.  A shaped one that overlaps an
+    earlier or longer one is ``inner``: another reading of the same place.
+    """
+    fields = "s.start as start, -s.stop as back, s.stop as stop, s.value as value, s.before as before"
     seeds = [
-        F.expr(f"transform(_{kind}, s -> struct('{kind}' as kind, {fields}))") for kind in BASE
+        F.expr(f"transform(_{kind}, s -> struct({fields}, '{kind}' as kind))") for kind in BASE
     ]
-    other = F.expr(f"transform(_shaped, s -> struct(cast(null as string) as kind, {fields}))")
-    listed = found.select("row", F.explode(F.concat(*seeds, other)).alias("s")).select("row", "s.*")
+    other = F.expr(f"transform(_shaped, s -> struct({fields}, cast(null as string) as kind))")
+    none = "start:int,stop:int,value:string,before:string,kind:string,inner:boolean"
+    begin = "if(s.start >= a.reach, a.reach, a.begin)"
+    one = (
+        f"struct(s.start, s.stop, s.value, right(s.before, s.start - {begin}) as before, s.kind, "
+        "s.kind is null and s.start < a.reach as inner)"
+    )
+    placed = F.expr(
+        f"aggregate(array_sort(all), struct(0 as begin, 0 as reach, cast(array() as array<struct<{none}>>) "
+        f"as out), (a, s) -> struct({begin} as begin, greatest(a.reach, s.stop) as reach, "
+        f"concat(a.out, array({one})) as out), a -> a.out)"
+    )
+    listed = found.select("row", F.concat(*seeds, other).alias("all"))
+    listed = listed.select("row", F.explode(placed).alias("s")).select("row", "s.*")
     words = F.filter(F.split(F.lower("before"), r"[^\p{L}:=#]+"), lambda word: word != "")
     last = listed.withColumn("words", words)
     patterns = F.expr(
@@ -112,19 +151,30 @@ def occurrences(found: DataFrame) -> DataFrame:
         "if(size(words) > 1, concat('2 ', element_at(words, -2), ' ', element_at(words, -1)), null)))"
     )
     return last.select(
-        "row", "start", "stop", "value", "kind", F.explode(patterns).alias("pattern")
+        "row", "start", "stop", "value", "kind", "inner", F.explode(patterns).alias("pattern")
+    )
+
+
+def fits() -> Column:
+    """Whether ``value`` can be of ``kind``: an address needs no digits."""
+    digits = "length(regexp_replace(value, '[^0-9]', ''))"
+    most = " ".join(f"when '{kind}' then {n}" for kind, n in MOST_DIGITS.items())
+    return F.expr(
+        f"if(kind = 'email' and contains(value, '@'), true, {digits} >= {LEAST_DIGITS} and "
+        f"(not value rlike r'[\x20\xA0]' or {digits} <= case kind {most} end))"
     )
 
 
 def bootstrap(found: DataFrame, tables: Workspace) -> DataFrame:
     """(row, kind, start, stop) of identifiers that confident patterns discover."""
     seen = tables.written(occurrences(found))
-    edges = tables.written(seen.select("pattern", "value", "kind").distinct())
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("value").alias("size"))
+    edges = tables.written(seen.select("pattern", "value", "kind", "inner").distinct())
+    outer = edges.where("not inner")
+    sizes = outer.groupBy("pattern").agg(F.count_distinct("value").alias("size"))
     seeds = edges.where("kind is not null").select("value", "kind").distinct()
     seeds = tables.written(seeds.withColumn("score", F.lit(1.0)))
-    open_edges = edges.where("kind is null").select("pattern", "value")
-    links = edges.select("pattern", "value").distinct()
+    open_edges = edges.where("kind is null").select("pattern", "value").distinct()
+    links = outer.select("pattern", "value").distinct()
     known, confident = seeds, None
     for _ in range(ROUNDS):
         scored = (
@@ -139,13 +189,14 @@ def bootstrap(found: DataFrame, tables: Workspace) -> DataFrame:
         confident = tables.written(scored.select("pattern", "kind", F.col("score").alias("trust")))
         unseen = (
             open_edges.join(confident, "pattern")
+            .where(fits())
             .groupBy("value", "kind")
             .agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score"))
         )
         known = tables.written(seeds.unionByName(unseen.join(seeds, ["value", "kind"], "left_anti")))
     found_there = (
         seen.where("kind is null")
-        .drop("kind")
+        .drop("kind", "inner")
         .join(confident, "pattern")
         .join(known, ["value", "kind"])
         .where(F.col("score") >= CONFIDENT)
@@ -166,15 +217,16 @@ def personal_data(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("row", "spans")]
     found = base_spans(docs.select(*kept)).withColumn("row", F.monotonically_increasing_id())
     found = tables.written(found)
-    extra = (
-        bootstrap(found, tables)
-        .groupBy("row")
-        .agg(
-            F.collect_list(
-                F.struct(F.lit(len(BASE)).alias("order"), "kind", "start", "stop")
-            ).alias("extra")
-        )
+    listed = F.sort_array(F.collect_list(F.struct("start", (-F.col("stop")).alias("back"), "kind")))
+    extra = bootstrap(found, tables).groupBy("row").agg(listed.alias("extra"))
+    # Of several readings of a place, what lies in a longer one is left out.
+    span = f"struct({len(BASE)} as order, s.kind, s.start, -s.back as stop)"
+    whole = F.expr(
+        "aggregate(extra, struct(0 as reach, cast(array() as "
+        "array<struct<order:int,kind:string,start:int,stop:int>>) as out), (a, s) -> if(-s.back <= a.reach, "
+        f"a, struct(-s.back as reach, concat(a.out, array({span})) as out)), a -> a.out)"
     )
+    extra = extra.select("row", whole.alias("extra"))
     own = [
         F.expr(f"transform(_{kind}, s -> struct({k} as order, '{kind}' as kind, s.start, s.stop))")
         for k, kind in enumerate(BASE)

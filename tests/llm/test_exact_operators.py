@@ -283,6 +283,24 @@ def test_contexts_discover_identifiers(spark):
     assert all(found[k].count(":") == 2 for k in range(30))
 
 
+def test_contexts_discover_addresses_and_spaced_numbers(spark):
+    rows = [(k, f"My contact number is +49 30 1234 5{k:03d} indeed.") for k in range(30)]
+    rows += [(50 + k, f"Please write to name{k}@mail.example.com today.") for k in range(30)]
+    texts = {
+        100: ("My contact number is 0301 234 7000 indeed.", "ctx_phone:21:34"),
+        101: ("My contact number is (030) 555-7713 indeed.", "ctx_phone:21:35"),
+        102: ("Room 5, my contact number is 030.555.7714, ask.", "ctx_phone:29:41"),
+        103: ("Please write to john.doe@localhost today.", "ctx_email:16:34"),
+        104: ("Please write to jürgen@büro.", "ctx_email:16:27"),
+        105: ("My contact number is 0301234-7000 0301234-700000 indeed.", "ctx_phone:21:33"),
+        106: ("My contact number is john.doe@localhost indeed.", ""),
+        107: ("In 0301 234 7001 nothing of john.doe@localnet.", ""),
+    }
+    rows += [(k, text) for k, (text, _) in texts.items()]
+    found = {r.doc_id: r.spans for r in span_report(table(spark, rows)).collect()}
+    assert {k: found[k] for k in texts} == {k: spans for k, (_, spans) in texts.items()}
+
+
 def test_masking(spark):
     docs = table(spark, [(1, "é a@b.cd and 10.0.0.1."), (2, None), (2, ""), (None, "a@b.cd")])
     masked = masked_documents(docs)
