@@ -5,7 +5,8 @@ A line with a word fails if
 
 - it is navigation: at least ``SEPARATORS`` of its words are nothing but separators;
 - it is cluttered: at least ``CLUTTER`` of its characters are symbols;
-- it is boilerplate: it holds a phrase of ``PHRASES``;
+- it is boilerplate: phrases of ``PHRASES`` make up at least ``BOILERPLATE`` of its words, or
+  it begins as placeholder text does; prose that mentions a phrase is none;
 - it lacks an end: no closing mark, and fewer than ``STUB`` words;
 - it repeats an earlier line of the document.
 
@@ -34,6 +35,7 @@ PHRASES = (
     b"all rights reserved", b"cookie policy", b"enable javascript", b"lorem ipsum",
     b"privacy policy", b"sign up for our newsletter", b"terms of use",
 )
+BOILERPLATE, PLACEHOLDER = 0.2, b"lorem ipsum dolor"
 #: A document is kept if its lines keep this share of the bytes of its words.
 KEPT_SHARE = 0.5
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
@@ -69,7 +71,10 @@ def line_passes(line: bytes, words: list[bytes]) -> bool:
     if len(words) < STUB and not words[-1].endswith(CLOSING):
         return False
     lower = line.lower()
-    return not any(phrase in lower for phrase in PHRASES)
+    if lower.lstrip(WHITE).startswith(PLACEHOLDER):
+        return False
+    boilerplate = sum(lower.count(phrase) * len(phrase.split()) for phrase in PHRASES)
+    return not boilerplate or boilerplate < BOILERPLATE * len(words)
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -172,6 +172,20 @@ def test_lines_that_fail_are_removed(spark):
     assert rows == {1: f"{good}\n{more}\n{rest}", None: good}
 
 
+def test_prose_that_mentions_a_phrase_is_kept(spark):
+    one = prose(1, 60) + " They read the privacy policy twice. " + prose(2, 60)
+    several = "\n".join([prose(3, 40), one, prose(4, 40) + " The Terms of Use were short."])
+    texts = [one, several]
+    for text in texts:
+        assert judge(text.encode()).kept and judge(text.encode()).text.decode() == text
+    notices = ["All rights reserved.", "Privacy Policy Terms of Use Cookie Policy", "Lorem ipsum dolor " + one]
+    for notice in notices:
+        assert judge(f"{several}\n{notice}".encode()).text.decode() == several
+    docs = table(spark, list(enumerate(texts)))
+    assert {r.doc_id: r.text for r in clean_documents(docs).collect()} == dict(enumerate(texts))
+    assert quality_report(docs).where("kept and n_lines = n_lines_kept").count() == 2
+
+
 def test_good_documents_are_kept(spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     joined = quality_report(given(spark)).join(labels, "doc_id").where("not base_failed")
