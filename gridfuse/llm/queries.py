@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from gridfuse.llm.clusters import clusters
 from gridfuse.llm.common import documents
 from gridfuse.llm.decontaminate import contamination
 from gridfuse.llm.maxent import text_scores
@@ -73,6 +74,11 @@ def op10_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op12_centroid_clusters(spark, sf_dir):
+    """40 clusters after five rounds; vectors that are not 64 finite numbers give no row."""
+    return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), number=40, rounds=5)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -84,4 +90,5 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }

@@ -76,4 +76,52 @@ FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
      LEFT JOIN sizes USING (doc_id)"""
 )
 
-ORACLE = {"op9_decontamination": DECONTAMINATION, "op10_near_dedup": NEAR_DEDUP}
+_SIZE, _NUMBER, _ROUNDS = 64, 40, 5
+
+
+def _assignment(step: int) -> str:
+    apart = "list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"""
+a{step} AS (
+  SELECT vec_id, any_value(v) AS v, arg_min(c, d * {_NUMBER} + c) AS c, min(d) AS d
+  FROM (SELECT k.vec_id, k.v, c.c, CAST({apart} AS BIGINT) AS d FROM kept k CROSS JOIN c{step} c)
+  GROUP BY vec_id)"""
+
+
+def _moved(step: int) -> str:
+    return f"""
+s{step} AS (
+  SELECT c, p, sum(x) AS s, count(*) AS n
+  FROM (SELECT c, unnest(v) AS x, unnest(range({_SIZE})) AS p FROM a{step}) GROUP BY c, p),
+m{step} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v
+  FROM s{step} GROUP BY c),
+c{step + 1} AS (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{step} c LEFT JOIN m{step} m ON m.c = c.c)"""
+
+
+CLUSTERS = (
+    f"""WITH kept AS (
+  SELECT vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: isfinite(x))) = {_SIZE} AND len(embedding) = {_SIZE}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v
+  FROM kept ORDER BY sha256('2:' || vec_id) LIMIT {_NUMBER}),"""
+    + ",".join(f"{_assignment(step)},{_moved(step)}" for step in range(_ROUNDS))
+    + ","
+    + _assignment(_ROUNDS)
+    + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{_ROUNDS} a JOIN c{_ROUNDS} c ON c.c = a.c"""
+)
+
+ORACLE = {
+    "op9_decontamination": DECONTAMINATION,
+    "op10_near_dedup": NEAR_DEDUP,
+    "op12_centroid_clusters": CLUSTERS,
+}
