@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridfuse.llm.clusters import clusters
 from gridfuse.llm.common import documents
+from gridfuse.llm.conversations import prefix_trie
 from gridfuse.llm.decontaminate import contamination
 from gridfuse.llm.maxent import text_scores
 from gridfuse.llm.near_dedup import near_duplicates
@@ -74,6 +75,11 @@ def op10_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    """The prefix trie of all conversations; rows without an id belong to none."""
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_centroid_clusters(spark, sf_dir):
     """40 clusters after five rounds; vectors that are not 64 finite numbers give no row."""
     return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), number=40, rounds=5)
@@ -90,5 +96,6 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_centroid_clusters": op12_centroid_clusters,
 }

@@ -120,8 +120,53 @@ SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance,
 FROM a{_ROUNDS} a JOIN c{_ROUNDS} c ON c.c = a.c"""
 )
 
+TRIE = """WITH step AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(
+    list_concat([b], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+placed AS (
+  SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+    length(coalesce(text, '')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))),
+    lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s
+        FROM conversations WHERE conv_id IS NOT NULL) CROSS JOIN step),
+turns AS (
+  SELECT v.c, 0 AS part, p, k, chars FROM convs v JOIN placed b ON b.c = v.c - v.c % 100 AND p <= h
+  UNION ALL SELECT v.c, 1, p, k, chars FROM convs v JOIN placed o ON o.c = v.c AND p > h),
+paths AS (
+  SELECT c, list(k ORDER BY part, p) AS path, list(chars ORDER BY part, p) AS lens
+  FROM turns GROUP BY c
+  UNION ALL SELECT c, [], [] FROM convs WHERE c NOT IN (SELECT c FROM turns)),
+members AS (
+  SELECT c, d, path[:d] AS node, lens[d] AS chars, d = len(path) AS last
+  FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT d, node, min(c) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends
+  FROM members GROUP BY d, node),
+children AS (
+  SELECT d - 1 AS d, node[:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT k AS d, node[:k] AS node,
+    sum((n - 1) * coalesce(chars, 0)) AS saved, count(*) FILTER (leaf) AS n_leaves
+  FROM (SELECT n.*, c.node IS NULL AS leaf, unnest(range(n.d + 1)) AS k
+        FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.node = n.node) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs,
+  coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  n.ends AS ends_sha256
+FROM nodes n JOIN below b ON b.d = n.d AND b.node = n.node
+  LEFT JOIN children c ON c.d = n.d AND c.node = n.node
+  LEFT JOIN nodes u ON u.d = n.d - 1 AND u.node = n.node[:n.d - 1]"""
+
 ORACLE = {
     "op9_decontamination": DECONTAMINATION,
     "op10_near_dedup": NEAR_DEDUP,
+    "op11_conversation_trie": TRIE,
     "op12_centroid_clusters": CLUSTERS,
 }
