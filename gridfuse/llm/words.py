@@ -16,6 +16,8 @@ import pyarrow as pa
 WHITE = (0x20, *range(0x09, 0x0E))
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _STEP = np.uint64(0xD1342543DE82EF95)
+#: Bytes that are summed at a time: what a long text needs besides does not grow with it.
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,9 +61,13 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+def find_words(
+    data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, letters: np.ndarray | None = None
+) -> Words:
     """``data``: bytes; ``offsets``: where each text begins, and the end; ``inside``:
-    for each byte whether it belongs to a word.  Words never cross texts."""
+    for each byte whether it belongs to a word; ``letters``: what each byte counts as, by
+    default with A-Z in lower case.  Words never cross texts."""
+    letters = lower_case() if letters is None else letters
     within = np.zeros(len(data) + 1, bool)
     within[:-1] = inside[data]
     before = np.concatenate([[False], within[:-1]])
@@ -71,15 +77,34 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Wor
     cut = offsets[1:][offsets[1:] > 0] - 1
     last[cut] = False
     stops = np.flatnonzero(within & ~last) + 1
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(
-        (lower_case()[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:]
-    )
-    hashes = (sums[stops] - sums[starts]) * down[starts]
+    hashes = _span_hashes(data, letters, starts, stops)
     return Words(mix(hashes), np.searchsorted(starts, offsets), starts, stops)
 
 
+def _span_hashes(data, letters, starts, stops) -> np.ndarray:
+    """Polynomial hashes of ordered spans, by running sums over a piece of bytes at a time."""
+    up, down = _powers(PIECE)
+    rise, fall = pow(_FACTOR, PIECE, 1 << 64), pow(_FACTOR, -PIECE, 1 << 64)
+    found = np.zeros(len(starts), np.uint64)
+    total, scale, back = np.uint64(0), 1, 1
+    for begin in range(0, len(data), PIECE):
+        part = letters[data[begin : begin + PIECE]].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        sums = total + sums * np.uint64(scale)
+        # A span that ends with a piece ends in it; one that begins after it, in the next.
+        own = slice(*np.searchsorted(starts, [begin, begin + len(part)]))
+        found[own] -= sums[starts[own] - begin]
+        ended = slice(*np.searchsorted(stops, [begin + 1, begin + len(part) + 1]))
+        found[ended] += sums[stops[ended] - begin]
+        total, scale = sums[-1], scale * rise % (1 << 64)
+    for begin in range(0, len(data), PIECE):
+        own = slice(*np.searchsorted(starts, [begin, begin + PIECE]))
+        found[own] *= down[starts[own] - begin] * np.uint64(back)
+        back = back * fall % (1 << 64)
+    return found
+
+
 def word_bytes(outside: bytes) -> np.ndarray:
     """For each byte whether it belongs to a word, given those that do not."""
     inside = np.ones(256, bool)
