@@ -16,6 +16,7 @@ from gridfuse.llm.pii import span_report
 from gridfuse.llm.quality import quality_report
 from gridfuse.llm.sharding import byte_shards
 from gridfuse.llm.sql import ORACLE as ORACLE
+from gridfuse.llm.substring_dedup import repeated_passages
 from gridfuse.llm.suffix_dedup import repeated_bytes
 from gridfuse.llm.token_counts import token_counts
 from gridfuse.llm.toxicity import fit, fold, toxicity_scores
@@ -85,6 +86,11 @@ def op12_centroid_clusters(spark, sf_dir):
     return clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), number=40, rounds=5)
 
 
+def op13_substring_dedup(spark, sf_dir):
+    """Passages of 50 words that earlier documents have; null and short texts lose nothing."""
+    return repeated_passages(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -98,4 +104,5 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_substring_dedup": op13_substring_dedup,
 }

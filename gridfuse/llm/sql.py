@@ -164,9 +164,28 @@ FROM nodes n JOIN below b ON b.d = n.d AND b.node = n.node
   LEFT JOIN children c ON c.d = n.d AND c.node = n.node
   LEFT JOIN nodes u ON u.d = n.d - 1 AND u.node = n.node[:n.d - 1]"""
 
+PASSAGES = rf"""WITH listed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_PLAIN}') AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM listed)),
+first AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p
+  FROM windows JOIN first USING (win) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM listed),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM listed LEFT JOIN removed USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
 ORACLE = {
     "op9_decontamination": DECONTAMINATION,
     "op10_near_dedup": NEAR_DEDUP,
     "op11_conversation_trie": TRIE,
     "op12_centroid_clusters": CLUSTERS,
+    "op13_substring_dedup": PASSAGES,
 }
