@@ -203,7 +203,8 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
         )
     )
     leaves = groups.join(prefixes.select(F.col("above").alias("key")).distinct(), "key", "left_anti")
-    owners = prefixes.groupBy("key").agg(F.min("id").alias("owner"))
+    # Written, so that a common prefix is a skewed side that a join can split.
+    owners = tables.written(prefixes.groupBy("key").agg(F.min("id").alias("owner")))
     owned = (
         prefixes.select("key", "id", "depth", "before")
         .join(owners, "key")
@@ -250,9 +251,9 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     nodes = prefixes.join(info, "id").groupBy("key", "depth").agg(*metrics(F.col("before"), depth))
     root = info.agg(*metrics(F.lit(0), F.lit(0))).where("n_convs > 0")
     root = root.withColumn("depth", F.lit(0).cast("long"))
-    # One row, for the nodes of depth 1, which share only the root.
-    top = F.broadcast(root.select(F.col("conv_id").alias("top"), F.lit(1).cast("long").alias("depth")))
-    nodes = nodes.drop("key").join(top, "depth", "left").withColumn("up", F.coalesce("top", "up")).drop("top")
+    # Nodes of depth 1 share only the root, which the smallest id of all owns.
+    top = info.agg(F.min("id")).first()[0]
+    nodes = nodes.drop("key").withColumn("up", F.coalesce("up", F.lit(top).cast("long")))
     every = nodes.unionByName(root.withColumn("up", F.lit(None).cast("long")))
     several = groups.where("weight > 1").select("key", "id")
     ends = end_digests(each.join(several, "key")).select(F.col("id").alias("end"), "ends")
