@@ -40,7 +40,7 @@ LENGTH, BLOCK = 50, 25
 #: Words of the strings that choose a bucket, in windows of BLOCK words.
 GRAM = 6
 #: Bytes of text whose windows are compared before they are sent, and of a bucket's share.
-GROUP, SHARE = 1 << 24, 1 << 25
+GROUP, SHARE = 1 << 23, 1 << 25
 BLOCKS, PROBES, SHARED = range(3)
 PACKED = "bucket int, kind int, hashes binary, ids binary, rows binary, places binary, lens binary"
 SPANS = "row long, place int, run int"
