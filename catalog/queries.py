@@ -325,6 +325,18 @@ def fused_large_values(spark, sf_dir):
     return cells.select(*CELL, F.round("value", 4).alias("fused"))
 
 
+def fused_extreme_values(spark, sf_dir):
+    """Cells stretched over nearly the whole range of int, in units of a thousand."""
+    wide_range = _stack(spark, sf_dir)
+    for band in BANDS:
+        far = F.transform(band, lambda px: F.when(px != 0, (px - 950) * 3_300_000).otherwise(0))
+        wide_range = wide_range.withColumn(band, far)
+    cells = fusion.fuse(wide_range, grid=TILES).select(
+        *LINE_KEY, F.posexplode("pixels").alias("col", "value")
+    )
+    return cells.select(*CELL, F.round(F.col("value") / 1000).cast("bigint").alias("fused"))
+
+
 def fused_published_slope(spark, sf_dir):
     stack = _stack(spark, sf_dir)
     return _fused_cells(fusion.fuse(stack, slope="fine_on_coarse", grid=TILES))
@@ -359,7 +371,8 @@ def fused_packed_tiles(spark, sf_dir):
 
 
 def fused_preview(spark, sf_dir):
-    shown = fusion.fused_preview(fusion.fuse(_stack(spark, sf_dir), grid=STRIPS))
+    """The first twenty lines; no others are fused."""
+    shown = fusion.fuse_preview(_stack(spark, sf_dir), grid=STRIPS)
     return shown.select(*LINE_KEY, _scaled_text("pixels", 1_000_000).alias("cells"))
 
 
@@ -438,14 +451,32 @@ def regression_few_points(spark, sf_dir):
 
 
 def image_without_key(spark, sf_dir):
-    """A wide file of pixels only; a line's place in the file is its number."""
+    """Wide files of pixels only; a line's place in the files is its number."""
     path = store.shared_folder(spark)
-    sheet = _wide(spark, sf_dir, "fine1").orderBy(wide.INDEX_COLUMN)
-    store.write_wide(sheet.drop(*sheet.columns[-2:]).coalesce(1), path)
+    sheet = _wide(spark, sf_dir, "fine1").repartitionByRange(7, wide.INDEX_COLUMN)
+    sheet = sheet.sortWithinPartitions(wide.INDEX_COLUMN)
+    store.write_wide(sheet.drop(*sheet.columns[-2:]), path)
     rows = wide.read_unnumbered_image(spark, path, "fine1", "s0")
     return rows.select("scene", "band", "row_key", _text("pixels").alias("cells"))
 
 
+def assemble_stored(spark, sf_dir):
+    """Five images stored by line key, joined as they lie."""
+    images = {}
+    for band in BANDS:
+        path = store.shared_folder(spark)
+        table = "image_" + path.rsplit("/", 1)[-1]
+        store.write_bucketed(order_raster.raster_image(spark, sf_dir, band), table, 8, path)
+        images[band] = store.read_bucketed(spark, table)
+    stack = layout.assemble_stack(**images)
+    return stack.select(*LINE_KEY, *[_text(b).alias(b) for b in BANDS])
+
+
+def block_sums(spark, sf_dir):
+    tiles = neighborhood.tile_stack(_stack(spark, sf_dir), TILES)
+    return neighborhood.block_sums(tiles, TILES).drop("tile_row", "tile_col")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -489,11 +520,14 @@ QUERIES = {
         regression_fit,
         regression_eval,
         fused_large_values,
+        fused_extreme_values,
         pack_unpack_nulls,
         window_sums_ragged,
         single_cell,
         range_layout_order,
         image_without_key,
+        assemble_stored,
+        block_sums,
         regression_global,
         regression_few_points,
     )

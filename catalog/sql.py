@@ -249,6 +249,18 @@ pix AS (
     f"CASE WHEN {b} = 0 THEN 0 ELSE {b} + 20000000 END AS {b}" for b in BANDS
 ) + """
   FROM small_pix)"""
+_STRETCHED = """
+pix AS (
+  SELECT scene, row_key, col, """ + ", ".join(
+    f"CASE WHEN {b} = 0 THEN 0 ELSE (CAST({b} AS BIGINT) - 950) * 3300000 END AS {b}" for b in BANDS
+) + """
+  FROM small_pix)"""
+# The product of two differences over the whole range would not fit a bigint; its sign does.
+_SIGN = "sign(near_fine1 - near_fine2) * sign(near_coarse1 - near_coarse2)"
+_WEIGHED_FAR = f"""
+rated AS (
+  SELECT *, CAST({_SIGN} AS DOUBLE) AS r, 1 + sqrt(dr * dr + dc * dc) / 2 AS d FROM sim),
+""" + _WEIGHED[_WEIGHED.index("weighed AS") :]
 _RAGGED = """
 pix AS (SELECT * FROM all_pix WHERE col < 128 - row_key * 7 % 50)"""
 
@@ -360,6 +372,14 @@ FROM patches JOIN lines_of USING (scene, patch_row, patch_col)""",
         [_PIX.replace("\npix AS", "\nsmall_pix AS"), _RAISED, *_fusion()[1:]],
         "SELECT scene, row_key, col, round(fused, 4) AS fused FROM fused",
     ),
+    "fused_extreme_values": _with(
+        [
+            _PIX.replace("\npix AS", "\nsmall_pix AS"),
+            _STRETCHED,
+            *(_WEIGHED_FAR if part is _WEIGHED else part for part in _fusion()[1:]),
+        ],
+        "SELECT scene, row_key, col, CAST(round(fused / 1000) AS BIGINT) AS fused FROM fused",
+    ),
     "pack_unpack_nulls": _with(
         [_PIX],
         f"""SELECT scene, row_key, CASE WHEN row_key % 7 <> 0
@@ -381,6 +401,8 @@ FROM lines l LEFT JOIN pix p
 FROM lines""",
     ),
     "image_without_key": _WIDE,
+    "assemble_stored": _with([_PIX], _STACK_LINES),
+    "block_sums": _with([_PIX, _NEAR, _BLOCK_SUMS], "SELECT * FROM sums"),
     "regression_global": _with(
         [_PIX],
         """SELECT scene, row_key, col, round(intercept + slope * fine1, 6) AS yhat

@@ -5,13 +5,23 @@ from pyspark.sql import functions as F
 
 EPSILON = 1e-7
 
-#: Sums of squares of differences are exact below this; both engines stop at it.
-EXACT_SQUARES = 2**53
-TOO_SPREAD = "the values of similar cells differ too much for exact sums"
+#: Products of differences are summed in two parts, of the bits above and below this one.
+LIMB_BITS = 16
+
+
+def limbs(x, y) -> tuple[Column, Column]:
+    """The product of two differences of int cells, in parts whose sums fit a bigint."""
+    return F.shiftright(x, LIMB_BITS) * y, x.bitwiseAND(F.lit(2**LIMB_BITS - 1)) * y
+
+
+def from_limbs(high, low) -> Column:
+    """The sum of products from the sums of their parts, exactly."""
+    return high.cast("decimal(20,0)") * F.lit(2**LIMB_BITS) + low.cast("decimal(20,0)")
 
 
 def is_similar(t1, t2, centre1, centre2, near1, near2) -> Column:
     """Both cells have data at both dates and differ by at most the thresholds."""
+    centre1, centre2 = centre1.cast("bigint"), centre2.cast("bigint")
     has_data = (centre1 != 0) & (centre2 != 0) & (near1 != 0) & (near2 != 0)
     return has_data & (F.abs(centre1 - near1) <= t1) & (F.abs(centre2 - near2) <= t2)
 
@@ -22,9 +32,8 @@ def correlation(fine1, fine2, coarse1, coarse2) -> Column:
     With two points that is the sign of the product of the differences; where
     it is undefined it counts as 0.
     """
-    return F.signum((fine1 - fine2).cast("double")) * F.signum(
-        (coarse1 - coarse2).cast("double")
-    )
+    fine, coarse = fine1.cast("bigint") - fine2, coarse1.cast("bigint") - coarse2
+    return F.signum(fine.cast("double")) * F.signum(coarse.cast("double"))
 
 
 def distance(dr, dc, window: int) -> Column:
@@ -42,8 +51,10 @@ def slope(n, sx, sy, sxy, sxx) -> Column:
 
     The sums may be of values relative to any fixed point.
     """
+    sx, sy = sx.cast("decimal(20,0)"), sy.cast("decimal(20,0)")
     spread = n * sxx - sx * sx
-    return F.when(spread != 0, (n * sxy - sx * sy) / spread).otherwise(F.lit(1.0))
+    rise = (n * sxy - sx * sy).cast("double")
+    return F.when(spread != 0, rise / spread.cast("double")).otherwise(F.lit(1.0))
 
 
 def temporal_weight_m(tp, tkm, tkn, zero_change: str = "limit") -> Column:

@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 
 from gridfuse.functions.packing import INT_CELL, blob_cells
-from gridfuse.functions.stencil import EPSILON, EXACT_SQUARES, TOO_SPREAD
+from gridfuse.functions.stencil import EPSILON, LIMB_BITS
 from gridfuse.schema import BANDS, Grid
 
+#: Sums of squares of whole numbers below this are exact as double.
+EXACT_SQUARES = 2**53
 _CELLS_AT_ONCE, _COLS_AT_ONCE = 8_192, 512  # keeps the working arrays of a step in cache
 
 
@@ -116,8 +118,8 @@ def _similar_sums(grids, t1, t2, window, slope, h, w):
     yy of both dates and the number of neighbours.
 
     x and y are taken relative to the cell's own values at the first date.  The slope does
-    not change under such a shift, and the sums, of differences, stay exact integers
-    however large the values are.
+    not change under such a shift, and the sums, of differences, stay exact unless similar
+    cells are far apart (:func:`_exact_slopes`).
     """
     by_distance = _cell_terms(grids)
     names = ("fine1", "fine2", "coarse1", "coarse2")
@@ -170,17 +172,52 @@ def _similar_sums(grids, t1, t2, window, slope, h, w):
     return sums
 
 
+def _slopes(pairs, sx, sy, sxy, sxx):
+    """Least-squares slopes from whole numbers below 2**63, 1 where undefined."""
+    spread = pairs * sxx - sx * sx
+    flat = spread == 0
+    return np.where(flat, 1.0, (pairs * sxy - sx * sy) / np.where(flat, 1, spread))
+
+
+def _exact_slopes(grids, t1, t2, window, slope, h, w):
+    """The same for cells of any int values: products are summed in two parts, and the
+    quotient is of Python's unbounded whole numbers."""
+    f1, f2, c1, c2 = (grids[b].astype(np.int64) for b in BANDS[:4])
+    usable = (f1 != 0) & (f2 != 0)
+    names = (f1, f2, c1, c2) if slope == "coarse_on_fine" else (c1, c2, f1, f2)
+    own = [names[0][:h, :w], names[2][:h, :w]]
+    pairs, sx, sy = (np.zeros((h, w), np.int64) for _ in range(3))
+    sxy, sxx = (np.zeros((2, h, w), np.int64) for _ in range(2))
+    for dr in range(window):
+        for dc in range(window):
+            at = (slice(dr, dr + h), slice(dc, dc + w))
+            keep = usable[:h, :w] & usable[at] & (dr + dc > 0)
+            for fine, limit in ((f1, t1), (f2, t2)):
+                keep &= np.abs(fine[:h, :w] - fine[at]) <= limit
+            x1, x2 = (np.where(keep, v[at] - own[0], 0) for v in names[:2])
+            y1, y2 = (np.where(keep, v[at] - own[1], 0) for v in names[2:])
+            pairs += 2 * keep
+            sx += x1 + x2
+            sy += y1 + y2
+            for total, factors in ((sxy, ((x1, y1), (x2, y2))), (sxx, ((x1, x1), (x2, x2)))):
+                for one, other in factors:
+                    total[0] += (one >> LIMB_BITS) * other
+                    total[1] += (one & (2**LIMB_BITS - 1)) * other
+    pairs, sx, sy = (v.astype(object) for v in (pairs, sx, sy))
+    sxy, sxx = (v[0].astype(object) * 2**LIMB_BITS + v[1] for v in (sxy, sxx))
+    quotient = np.frompyfunc(lambda rise, spread: rise / spread if spread else 1.0, 2, 1)
+    return quotient(pairs * sxy - sx * sy, pairs * sxx - sx * sx).astype(np.float64)
+
+
 def fuse_grids(grids, t1, t2, window, slope, zero_change):
     """Fused values of the owned cells, from grids that carry the halo."""
     h, w = (n - window + 1 for n in grids["fine1"].shape)
     inv, change_m, change_n, *sums = _similar_sums(grids, t1, t2, window, slope, h, w)
-    if max(sums[3].max(initial=0), sums[4].max(initial=0)) >= EXACT_SQUARES:
-        raise ValueError(TOO_SPREAD)
-    sx, sy, sxy, sxx, _, similar = (v.astype(np.int64) for v in sums)
-    pairs = 2 * similar
-    spread = pairs * sxx - sx * sx
-    flat = spread == 0
-    v = np.where(flat, 1.0, (pairs * sxy - sx * sy) / np.where(flat, 1, spread))
+    if max(sums[3].max(initial=0), sums[4].max(initial=0)) < EXACT_SQUARES:
+        sx, sy, sxy, sxx, _, similar = (v.astype(np.int64) for v in sums)
+        v = _slopes(2 * similar, sx, sy, sxy, sxx)
+    else:
+        v = _exact_slopes(grids, t1, t2, window, slope, h, w)
     norm = np.where(inv == 0, 1.0, inv)
     tp, tkm, tkn = (
         _box_sum(grids[b].astype(np.int64), window) for b in ("coarse0", "coarse1", "coarse2")

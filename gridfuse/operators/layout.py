@@ -20,7 +20,7 @@ def assemble_stack(
 
     A line that one image lacks drops out and a repeated line multiplies, as
     in any inner join; :func:`repeated_lines` finds repeats.  Images stored
-    bucketed on ``(scene, row_key)`` join without a shuffle.
+    by ``store.write_bucketed`` in as many buckets each join without a shuffle.
     """
     images = dict(coarse0=coarse0, fine1=fine1, fine2=fine2, coarse1=coarse1, coarse2=coarse2)
     named = [

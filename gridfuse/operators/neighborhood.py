@@ -34,13 +34,14 @@ def with_limits(
     images: DataFrame,
     num_class: int = NUM_CLASS,
     grid: Grid = Grid(),
+    whole: DataFrame | None = None,
 ) -> DataFrame:
     """Add the similarity thresholds ``t1`` and ``t2`` to every tile.
 
-    ``images`` is the STACK or RASTER_ROWS table that was cut.  The join keeps
-    the distribution of :func:`spread_tiles`.
+    ``images`` is the STACK or RASTER_ROWS table that was cut, and ``whole`` that of all
+    lines where only some were.  The join keeps the distribution of :func:`spread_tiles`.
     """
-    limits = scene_limits(fine_lines(images), num_class, grid)
+    limits = scene_limits(fine_lines(images if whole is None else whole), num_class, grid)
     return tiles.join(tile_list(images, limits, grid), TILE_KEY, "left")
 
 
@@ -142,6 +143,70 @@ def neighbors(tiles: DataFrame, grid: Grid = Grid(), centre: bool = False) -> Da
     )
 
 
+def _dense_lines(lines: DataFrame, columns, grid: Grid) -> DataFrame:
+    """Lines of a tile without gaps, all as long as the longest and ``grid.halo`` more.
+
+    A line is followed by empty ones up to the next, and the last up to the lower edge of
+    the tile with its halo.  ``length`` is the own length of a line, null for an added one.
+    """
+    tile = Window.partitionBy(*TILE_KEY)
+    below = F.lead("row_key").over(tile.orderBy("row_key"))
+    edge = (F.col("tile_row") + 1) * grid.tile_rows + grid.halo
+    width = F.greatest(*[F.size(c) for c in columns])
+    held = lines.select(
+        *TILE_KEY,
+        "row_key",
+        *columns,
+        F.size(columns[0]).alias("length"),
+        (F.max(width).over(tile) + grid.halo).alias("width"),
+        F.coalesce(below, edge).alias("below"),
+    )
+    filled = held.withColumn("key", F.explode(F.sequence("row_key", F.col("below") - 1)))
+    own = F.col("key") == F.col("row_key")
+    return filled.select(
+        *TILE_KEY,
+        F.col("key").alias("row_key"),
+        "width",
+        F.when(own, F.col("length")).alias("length"),
+        *[F.when(own, F.col(c)).alias(c) for c in columns],
+    )
+
+
+def block_sums(tiles: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """:func:`window_sums` by column expressions, from summed-area tables of the tiles.
+
+    Running sums down the columns, then along the lines; each block sum is four look-ups
+    in them, two of ``lead`` and two of the row itself, so the cost does not depend on the
+    window.  Both windows are sorts within the tiles as they are distributed.
+    """
+    names = {"coarse0": "tp", "coarse1": "tkm", "coarse2": "tkn"}
+    lines = _dense_lines(tiles, list(names), grid)
+    cells = lines.withColumn(
+        "at", F.explode(F.sequence(F.lit(0), F.col("width") - 1))
+    ).select(
+        *TILE_KEY, "row_key", "length", "at",
+        *[F.coalesce(F.get(c, F.col("at")), F.lit(0)).cast("long").alias(c) for c in names],
+    )
+
+    def blocks(table: DataFrame, across, along) -> DataFrame:
+        """Sums of each cell and the ``grid.halo`` that follow it ``along``."""
+        order = Window.partitionBy(*TILE_KEY, across).orderBy(along)
+        until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = table.select("*", *[F.sum(c).over(until).alias(f"{c}_until") for c in names])
+        ahead = {c: F.lead(f"{c}_until", grid.halo).over(order) for c in names}
+        return summed.withColumns(
+            {c: ahead[c] - (F.col(f"{c}_until") - F.col(c)) for c in names}
+        ).drop(*[f"{c}_until" for c in names])
+
+    # Lines of the halo have no full window; nor are they owned, so they are left out.
+    down = blocks(cells, "at", "row_key").where(_owned(grid) & F.col("length").isNotNull())
+    both = blocks(down, "row_key", "at").where(F.col("at") < F.col("length"))
+    if grid.tile_cols is not None:
+        both = both.where(F.col("at") < grid.tile_cols)
+    sums = [F.col(c).alias(name) for c, name in names.items()]
+    return both.select(*TILE_KEY, "row_key", _image_col(grid), *sums)
+
+
 def window_sums(tiles: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """Sums of the three coarse images over the neighbourhood, the cell included.
 

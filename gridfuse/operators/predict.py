@@ -20,22 +20,22 @@ def pixel_sums(near: DataFrame, slope: str = "coarse_on_fine", grid: Grid = Grid
     """
     if slope not in SLOPES:
         raise ValueError(f"unknown slope {slope!r}")
-    # Relative to the cell itself: the slope is the same, and the sums, of whole numbers
-    # held as double, stay exact.
+    # Relative to the cell itself: the slope is the same, and the numbers are smaller.
     fine, coarse = (
-        [(F.col(NEAR + kind + k).cast("bigint") - F.col(kind + "1")).cast("double") for k in "12"]
+        [F.col(NEAR + kind + k).cast("bigint") - F.col(kind + "1") for k in "12"]
         for kind in ("fine", "coarse")
     )
     x, y = (fine, coarse) if slope == "coarse_on_fine" else (coarse, fine)
-    to_m = F.col(NEAR + "coarse0") - F.col(NEAR + "coarse1")
-    to_n = F.col(NEAR + "coarse0") - F.col(NEAR + "coarse2")
+    to_m, to_n = (F.col(NEAR + "coarse0").cast("bigint") - F.col(NEAR + c) for c in ("coarse1", "coarse2"))
     similar = F.col("similar")
 
     def over_similar(value, empty=0):
         return F.coalesce(F.sum(F.when(similar, value)), F.lit(empty))
 
-    too_spread = F.greatest("sxx", "syy") >= stencil.EXACT_SQUARES
-    stop = F.raise_error(F.lit(stencil.TOO_SPREAD)).cast("bigint")
+    def products(name, one, other):
+        parts = zip(stencil.limbs(one[0], other[0]), stencil.limbs(one[1], other[1]))
+        return [over_similar(m + n).alias(f"{name}_{at}") for at, (m, n) in zip(("high", "low"), parts)]
+
     return (
         near.withColumn("similar", is_similar())
         .withColumn("raw", F.when(F.col("similar"), closeness(grid)))
@@ -46,9 +46,8 @@ def pixel_sums(near: DataFrame, slope: str = "coarse_on_fine", grid: Grid = Grid
             over_similar(F.lit(1)).alias("n_similar"),
             over_similar(x[0] + x[1]).alias("sx"),
             over_similar(y[0] + y[1]).alias("sy"),
-            over_similar(x[0] * y[0] + x[1] * y[1]).alias("sxy"),
-            over_similar(x[0] * x[0] + x[1] * x[1]).alias("sxx"),
-            over_similar(y[0] * y[0] + y[1] * y[1]).alias("syy"),
+            *products("sxy", x, y),
+            *products("sxx", x, x),
             F.sum("raw").alias("sum_raw"),
             F.sum(F.col("raw") * to_m).alias("change_m"),
             F.sum(F.col("raw") * to_n).alias("change_n"),
@@ -56,19 +55,14 @@ def pixel_sums(near: DataFrame, slope: str = "coarse_on_fine", grid: Grid = Grid
             F.sum(NEAR + "coarse1").alias("tkm"),
             F.sum(NEAR + "coarse2").alias("tkn"),
         )
-        .withColumns(
-            {
-                c: F.when(too_spread, stop).otherwise(F.col(c).cast("bigint"))
-                for c in ("sx", "sy", "sxy", "sxx")
-            }
-        )
     )
 
 
 def conversion_slope(sums: DataFrame) -> DataFrame:
     """Add ``v``: the least-squares slope over the similar neighbours at both dates."""
     pairs = F.col("n_similar") * 2
-    v = stencil.slope(pairs, F.col("sx"), F.col("sy"), F.col("sxy"), F.col("sxx"))
+    sxy, sxx = (stencil.from_limbs(F.col(f"{c}_high"), F.col(f"{c}_low")) for c in ("sxy", "sxx"))
+    v = stencil.slope(pairs, F.col("sx"), F.col("sy"), sxy, sxx)
     return sums.withColumn("v", v)
 
 

@@ -1,5 +1,7 @@
 """The whole fusion, from five images to the fused image."""
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,12 +11,14 @@ from gridfuse.operators.kernel import fuse_tile
 from gridfuse.operators.layout import as_lines, cut_tiles, lines_to_stack, spread_tiles
 from gridfuse.operators.neighborhood import neighbors, with_limits
 from gridfuse.operators.predict import SLOPES, fused_pixels, pixel_sums
-from gridfuse.schema import LINE_KEY, NUM_CLASS, TILE_KEY, Grid
+from gridfuse.schema import BANDS, LINE_KEY, NUM_CLASS, TILE_KEY, Grid
 
 
-def _limited_tiles(images: DataFrame, num_class: int, grid: Grid) -> DataFrame:
+def _limited_tiles(
+    images: DataFrame, num_class: int, grid: Grid, whole: DataFrame | None
+) -> DataFrame:
     tiles = spread_tiles(cut_tiles(as_lines(images), ["pixels"], grid), grid)
-    return with_limits(tiles, images, num_class, grid)
+    return with_limits(tiles, images, num_class, grid, whole)
 
 
 def _by_arrow(
@@ -63,6 +67,7 @@ def fuse_parts(
     grid: Grid = Grid(),
     engine: str = "arrow",
     packed: bool = False,
+    whole: DataFrame | None = None,
 ) -> DataFrame:
     """The fused image as parts of lines: ``scene, row_key, tile_col, pixels``.
 
@@ -71,7 +76,8 @@ def fuse_parts(
     The pixels of RASTER_ROWS may be packed, which is the fastest input.
     ``engine`` is ``arrow`` (whole tiles in numpy) or ``expr`` (column
     expressions only); both give the same image.  ``packed`` gives the result
-    as big-endian float32 blobs instead of arrays of double.
+    as big-endian float32 blobs instead of arrays of double.  Where ``images`` holds only
+    some lines, ``whole`` has all of them, for the thresholds.
     """
     if slope not in SLOPES:
         raise ValueError(f"unknown slope {slope!r}")
@@ -80,7 +86,7 @@ def fuse_parts(
     engines = {"arrow": _by_arrow, "expr": _by_expressions}
     if engine not in engines:
         raise ValueError(f"unknown engine {engine!r}")
-    tiles = _limited_tiles(images, num_class, grid)
+    tiles = _limited_tiles(images, num_class, grid, whole)
     return engines[engine](tiles, slope, zero_change, grid, packed)
 
 
@@ -125,6 +131,61 @@ def fused_rows(fused: DataFrame) -> DataFrame:
     return fused.select(*LINE_KEY, F.col("pixels").cast("array<float>").alias("pixels"))
 
 
-def fused_preview(fused: DataFrame, lines: int = 20) -> DataFrame:
-    """The first lines of a fused image, to look at."""
-    return fused.orderBy(*LINE_KEY).limit(lines)
+def preview_keys(images: DataFrame, lines: int = 20) -> list[tuple[str, int]]:
+    """The first line keys that all five bands have; only keys are read."""
+    keys = images.select(*LINE_KEY)
+    if "band" in images.columns:
+        found = images.where(F.col("band").isin(*BANDS)).groupBy(*LINE_KEY)
+        complete = found.agg(F.count_distinct("band").alias("bands"))
+        keys = complete.where(F.col("bands") == len(BANDS)).select(*LINE_KEY)
+    # A preview is shown, so its keys fit the driver: that is its only bound.
+    first = keys.orderBy(*LINE_KEY).limit(lines).collect()
+    return [(row["scene"], row["row_key"]) for row in first]
+
+
+def key_ranges(keys, halo: int) -> list[tuple[str, int, int]]:
+    """(scene, first, last) of the lines that the windows of the keys hold, merged."""
+    merged: list[tuple[str, int, int]] = []
+    for scene, key in keys:
+        if merged and merged[-1][0] == scene and key <= merged[-1][2] + 1:
+            merged[-1] = (scene, merged[-1][1], key + halo)
+        else:
+            merged.append((scene, key, key + halo))
+    return merged
+
+
+def _within(ranges):
+    """The test on a line key, in constants, so that it reaches the scan."""
+    tests = [
+        F.col("scene").eqNullSafe(F.lit(scene)) & F.col("row_key").between(first, last)
+        for scene, first, last in ranges
+    ]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def fuse_preview(
+    images: DataFrame,
+    lines: int = 20,
+    num_class: int = NUM_CLASS,
+    slope: str = "coarse_on_fine",
+    zero_change: str = "limit",
+    grid: Grid = Grid(),
+    engine: str = "arrow",
+) -> DataFrame:
+    """The first lines of the fused image, by key, without fusing the others.
+
+    The limit goes through the neighbourhood: the first ``lines`` keys are taken from the
+    line keys, widened by the lines that their windows look at, and only those lines are
+    read, cut and fused.  The thresholds come from the whole images of the scenes shown.
+    """
+    keys = preview_keys(images, lines)
+    if any(key is None for _, key in keys):
+        raise ValueError("a line has no key")
+    ranges = key_ranges(keys, grid.halo)
+    held = images.where(_within(ranges))
+    scenes = sorted({scene for scene, _ in keys if scene is not None})
+    whole = images.where(F.col("scene").isin(*scenes)) if scenes else images.limit(0)
+    parts = fuse_parts(held, num_class, slope, zero_change, grid, engine, whole=whole)
+    shown = parts.where(_within((scene, key, key) for scene, key in keys))
+    fused = shown.select(*LINE_KEY, "pixels") if grid.tile_cols is None else join_parts(shown)
+    return fused.orderBy(*LINE_KEY)

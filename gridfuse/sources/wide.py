@@ -5,7 +5,7 @@ a double, and as a rule ``__index_level_0__`` with the line number as the last
 column.  Convert such a file once; everything else works on RASTER_ROWS.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfuse.functions.pixels import to_digital_numbers
@@ -15,6 +15,10 @@ from gridfuse.schema import BANDS
 # Fixed value: the name that a stored pandas index has in parquet.
 INDEX_COLUMN = "__index_level_0__"
 
+#: Up to so many files, one row of a few hundred bytes each, their starts go to all tasks.
+BROADCAST_FILES = 20_000
+_FILE = "__file__"
+
 
 def rows_from_wide(
     wide: DataFrame, band: str, scene: str = "s0", key: str | None = None
@@ -52,19 +56,48 @@ def read_image(spark: SparkSession, path: str, band: str, scene: str = "s0") ->
     return rows_from_wide(spark.read.parquet(path), band, scene)
 
 
+def _file_order(path) -> Column:
+    """Paths in the order of their names, numbers in them by value."""
+    parts = F.split(path, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    number = lambda part: F.lpad(part, 20, "0")
+    return F.transform(parts, lambda part: F.when(part.rlike(r"^\d+$"), number(part)).otherwise(part))
+
+
+def file_starts(wide: DataFrame) -> DataFrame:
+    """(path, start) of every file with lines: how many lines the files before it have.
+
+    Counts come from the files' footers; the running sum has one row per file.
+    """
+    counts = wide.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    before = Window.orderBy(_file_order(F.col("path"))).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+
+
 def read_unnumbered_image(
     spark: SparkSession, path: str, band: str, scene: str = "s0"
 ) -> DataFrame:
-    """A wide file of pixels only; the position in the file is the line number.
+    """A wide image of pixels only; the position in its files is the line number.
 
-    The position comes from the parquet reader, so no global numbering is
-    needed.  Position means nothing across files, hence one file only.
+    Files follow each other in the order of their names (numbers by value, so that part 9
+    comes before part 10), and lines in the order of the file.  The position in a file
+    comes from the parquet reader, and what stands before the file from a running sum of
+    row counts, so nothing is sorted and lines stay where they are read.
     """
     wide = spark.read.parquet(path)
-    if len(wide.inputFiles()) > 1:
-        raise ValueError("an image without line numbers must be one file")
-    numbered = wide.select("*", F.col("_metadata.row_index").alias(INDEX_COLUMN))
-    return rows_from_wide(numbered, band, scene, key=INDEX_COLUMN)
+    placed = wide.select(
+        "*",
+        F.col("_metadata.file_path").alias(_FILE),
+        F.col("_metadata.row_index").alias(INDEX_COLUMN),
+    )
+    starts = file_starts(wide).withColumnRenamed("path", _FILE)
+    if len(wide.inputFiles()) <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    numbered = placed.join(starts, _FILE).withColumn(
+        INDEX_COLUMN, F.col(INDEX_COLUMN) + F.col("start")
+    )
+    return rows_from_wide(numbered.drop(_FILE, "start"), band, scene, key=INDEX_COLUMN)
 
 
 def read_images(

@@ -1,12 +1,15 @@
 """What large values, nulls, ragged lines and wrong input do."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from gridfuse.functions import packing
 from gridfuse.functions.window_fusion import register_fusion
-from gridfuse.operators import neighborhood, regression
+from gridfuse.operators import kernel, neighborhood, regression
 from gridfuse.plans.fuse import fuse
 from gridfuse.schema import RASTER_ROWS, Grid
 from gridfuse.sources import wide
@@ -31,11 +34,31 @@ def test_large_values_in_both_engines_and_any_layout(spark, base):
 
 
 @pytest.mark.parametrize("engine", ENGINES)
-def test_too_wide_a_spread_is_an_error(spark, engine):
-    far = {0: 1, 1: 2_000_000_000}
-    image = image_of(4, 4, lambda r, c: [far[(r + c) % 2]] * 5)
-    with pytest.raises(Exception, match="differ too much"):
-        fuse(raster_rows(spark, {"a": image}), num_class=1, engine=engine).collect()
+@pytest.mark.parametrize("slope", ["coarse_on_fine", "fine_on_coarse"])
+def test_values_over_the_whole_range_of_int(spark, engine, slope):
+    rnd = random.Random(7)
+    ends = [-(2**31), 2**31 - 1, -2_000_000_000, 2_000_000_000, -1, 1]
+    mixed = image_of(7, 8, lambda r, c: [rnd.choice(ends) for _ in range(5)])
+    spread = image_of(6, 9, lambda r, c: [rnd.randint(-(2**31), 2**31 - 1) for _ in range(5)])
+    for image in (mixed, spread):
+        wanted = brute.fuse(image, num_class=1, slope=slope)
+        lines = raster_rows(spark, {"a": image})
+        for grid in LAYOUTS[:2]:
+            fused = fuse(lines, num_class=1, slope=slope, engine=engine, grid=grid)
+            found = cells_of(fused)["a"]
+            for cell, value in wanted.items():
+                assert found[cell] == pytest.approx(value, rel=1e-9, abs=1), (cell, grid)
+
+
+def test_exact_slopes_are_the_usual_ones_for_small_values():
+    rng = np.random.default_rng(5)
+    grids = {b: rng.integers(0, 60, size=(12, 14)).astype(np.int32) for b in brute.BANDS}
+    for slope in ("coarse_on_fine", "fine_on_coarse"):
+        _, _, _, sx, sy, sxy, sxx, _, similar = (
+            v.astype(np.int64) for v in kernel._similar_sums(grids, 20, 25, 5, slope, 8, 10)
+        )
+        usual = kernel._slopes(2 * similar, sx, sy, sxy, sxx)
+        assert np.array_equal(usual, kernel._exact_slopes(grids, 20, 25, 5, slope, 8, 10))
 
 
 @pytest.mark.parametrize("engine", ENGINES)

@@ -160,3 +160,33 @@ def test_lines_of_a_stack(spark):
     assert lines.count() == 20
     total = lines.select(F.explode("pixels").alias("x")).agg(F.sum("x")).first()[0]
     assert total == sum(sum(cell) for cell in image.values())
+
+
+def sums_by_cell(rows):
+    return {(r["scene"], r["row_key"], r["col"]): (r["tp"], r["tkm"], r["tkn"]) for r in rows.collect()}
+
+
+@pytest.mark.parametrize("window", (3, 5, 9))
+@pytest.mark.parametrize("cols", (4, None))
+def test_block_sums_from_summed_areas(spark, window, cols):
+    """Gaps, ragged lines, tile edges: the same sums as by whole tiles, without Python."""
+    ragged = {(r, c): v for (r, c), v in gapped(12).items() if c < 9 - (3 * r) % 7}
+    for tile_rows in (3, 64):
+        grid = Grid(window, tile_rows, cols)
+        tiles = neighborhood.tile_stack(stack_rows(spark, {"a": gapped(11), "b": ragged}), grid)
+        found = neighborhood.block_sums(tiles, grid)
+        assert sums_by_cell(found) == sums_by_cell(neighborhood.window_sums(tiles, grid))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+        assert "ENSURE_REQUIREMENTS" not in plan  # only the tiles are dealt out
+
+
+def test_block_sums_cost_the_same_for_any_window(spark):
+    """The plans differ in the distances of the look-ups only."""
+    plans = set()
+    for window in (3, 9):
+        grid = Grid(window, 8, 4)
+        tiles = neighborhood.tile_stack(stack_rows(spark, {"a": gapped(13)}), grid)
+        plan = neighborhood.block_sums(tiles, grid)._jdf.queryExecution().executedPlan().toString()
+        plans.add(tuple(plan.count(node) for node in ("Window", "Sort", "Generate", "Exchange")))
+    assert len(plans) == 1

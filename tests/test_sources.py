@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import brute
 from gridfuse.functions import packing, pixels
-from gridfuse.operators.layout import pixels_long
+from gridfuse.operators.layout import assemble_stack, pixels_long
 from gridfuse.plans.fuse import fuse
 from gridfuse.sources import store, wide
 from rasters import cells_of, image_of, lines_of, noisy_image, raster_rows, stack_rows
@@ -49,9 +49,26 @@ def test_file_without_line_numbers(spark, tmp_path):
     path = str(tmp_path / "a.parquet")
     pq.write_table(pa.table(columns), path, row_group_size=7)
     assert lines_in(wide.read_unnumbered_image(spark, path, "fine1")) == dict(enumerate(lines))
-    spark.read.parquet(path).repartition(2).write.parquet(str(tmp_path / "two"))
-    with pytest.raises(ValueError, match="one file"):
-        wide.read_unnumbered_image(spark, str(tmp_path / "two"), "fine1")
+
+
+@pytest.mark.parametrize("broadcast", (wide.BROADCAST_FILES, 0))
+def test_lines_numbered_over_many_files(spark, tmp_path, monkeypatch, broadcast):
+    """Seven files of uneven length, one of them empty, in the order of their numbers."""
+    monkeypatch.setattr(wide, "BROADCAST_FILES", broadcast)
+    sizes, lines = [5, 1, 0, 9, 2, 7, 3], []
+    for part, size in enumerate(sizes):
+        own = [[100 * part + 10 * r + c for c in range(3)] for r in range(1, size + 1)]
+        columns = {
+            str(c): pa.array([float(line[c]) for line in own], pa.float64()) for c in range(3)
+        }
+        # Numbers by value: part-10 and part-11 come after part-6 to part-9.
+        name = f"part-{part + 5}.parquet"
+        pq.write_table(pa.table(columns), str(tmp_path / name), row_group_size=2)
+        lines += own
+    rows = wide.read_unnumbered_image(spark, str(tmp_path), "fine1")
+    assert lines_in(rows) == dict(enumerate(lines))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and "rangepartitioning" not in plan
 
 
 def test_wide_roundtrip(spark, tmp_path):
@@ -162,3 +179,29 @@ def test_truncation_of_a_column(spark):
     rows = spark.createDataFrame([(2.9,), (-2.9,), (float("nan"),), (None,)], "x double")
     found = rows.select(pixels.to_digital_number("x").alias("x"), F.lit(1)).collect()
     assert [r["x"] for r in found] == [2, -2, 0, 0]
+
+
+def test_stored_images_join_without_an_exchange(spark, tmp_path):
+    image = noisy_image(5, 30, 6)
+    rows = raster_rows(spark, {"a": image, "b": image})
+    images = {}
+    for band in brute.BANDS:
+        table = f"stored_{band}"
+        own = rows.where(F.col("band") == band)
+        store.write_bucketed(own, table, 4, str(tmp_path / band))
+        images[band] = store.read_bucketed(spark, table)
+        files = list((tmp_path / band).glob("*.parquet"))
+        assert 1 <= len(files) <= 4
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stack = assemble_stack(**images)
+        plan = stack._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        found = {(r["scene"], r["row_key"]): r["coarse2"] for r in stack.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for band in brute.BANDS:
+            spark.sql(f"DROP TABLE stored_{band}")
+    lines = lines_of(image)
+    assert found == {(s, r): [cell[3] for cell in lines[r]] for s in "ab" for r in lines}
