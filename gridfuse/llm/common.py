@@ -31,14 +31,32 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str):
-    """``rows`` over the Arrow batches of df; None where a batch gives no row."""
+#: Bytes of a batch that are worked on at a time.
+SLICE = 1 << 22
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``limit`` bytes, so that what a task makes of its rows does
+    not grow with Spark's batches."""
+    step = max(1, batch.num_rows * limit // max(batch.nbytes, limit))
+    for first in range(0, batch.num_rows, step):
+        yield batch.slice(first, step)
+
+
+def map_rows(
+    df: DataFrame,
+    rows: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    schema: str,
+    sliced: bool = False,
+):
+    """``rows`` over the Arrow batches of df, or over slices; None where one gives no row."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = rows(batch)
-            if out is not None:
-                yield out
+        for whole in batches:
+            for batch in slices(whole) if sliced else (whole,):
+                out = rows(batch)
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(over, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfuse.llm.bits import bit_set, in_set
-from gridfuse.llm.common import Workspace, map_rows
+from gridfuse.llm.common import Workspace, map_rows, slices
 from gridfuse.llm.words import Words, find_words, lower_case, runs, text_chunks, word_bytes
 
 WINDOW, SHINGLE = 13, 4
@@ -117,7 +117,7 @@ def places_of(docs: DataFrame, widths: list[int], bits: np.ndarray) -> DataFrame
                 ("words", pa.list_(pa.string())),
             ]
         )
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sizes: list[int] = []
             places: list[list] = []
             for first_text, last_text, data, offsets in text_chunks(batch.column("text")):

@@ -92,7 +92,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             names=["doc_id", "n", "set_key", "first", "second"],
         )
 
-    return map_rows(docs.select("doc_id", "text"), rows, SIGNATURES)
+    return map_rows(docs.select("doc_id", "text"), rows, SIGNATURES, sliced=True)
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     sided = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
     sided = sided.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-    return map_rows(sided, rows, "u long, v long")
+    return map_rows(sided, rows, "u long, v long", sliced=True)
 
 
 def near_size(one: str, other: str) -> str:
@@ -158,7 +158,7 @@ def prefix_members(texts: DataFrame) -> DataFrame:
             [batch.column("id"), pa.array(lists, pa.list_(pa.int64()))], names=["id", "keys"]
         )
 
-    sets = map_rows(texts, rows, "id long, keys array<long>")
+    sets = map_rows(texts, rows, "id long, keys array<long>", sliced=True)
     held = sets.select("id", F.size("keys").alias("n"), F.explode("keys").alias("key"))
     counts = held.groupBy("key").agg(F.count("*").alias("texts"))
     rarity = Window.partitionBy("id").orderBy("texts", "key")

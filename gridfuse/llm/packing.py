@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from gridfuse.llm.common import texts_of
+from gridfuse.llm.common import slices, texts_of
 from gridfuse.llm.token_counts import SPACES, char_class, spelled
 
 REMEMBERED = 600_000
@@ -224,7 +224,7 @@ def packed(
             columns = [pa.array(column, pa.int64()) for column in zip(*rows)]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 rows += packer.add(doc_id, np.concatenate([words.ids(text), end]))

@@ -144,7 +144,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
             columns.append(pa.array([f[k] for f in found], pa.bool_() if flag else pa.int64()))
         return pa.RecordBatch.from_arrays(columns, names=[k.split()[0] for k in REPORT.split(", ")])
 
-    return map_rows(docs.select("doc_id", "text"), rows, REPORT)
+    return map_rows(docs.select("doc_id", "text"), rows, REPORT, sliced=True)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -158,4 +158,4 @@ def clean_documents(docs: DataFrame) -> DataFrame:
         cleaned = batch.set_column(at, batch.schema.field(at), texts)
         return cleaned.filter(pa.array([f.kept for f in found], pa.bool_()))
 
-    return map_rows(docs, rows, docs.schema)
+    return map_rows(docs, rows, docs.schema, sliced=True)
