@@ -15,7 +15,7 @@ contexts of identifiers, and each round is written.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfuse.llm.common import Workspace
@@ -42,6 +42,8 @@ LEAST_DIGITS, LEAST_CHARS, MOST_CHARS, MOST_ADDRESS = 4, 6, 64, 320
 #: Groups with blanks have at most so many digits; more are several numbers.
 MOST_DIGITS = {"email": 0, "ip": 12, "card": 19, "phone": 15}
 CONTEXT = 60
+#: Matches of one text that are worked on together.
+BLOCK = 128
 ROUNDS, LEAST_HITS, CONFIDENT = 3, 5.0, 0.8
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -59,6 +61,17 @@ VALID = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def firsts(items: Column) -> Column:
+    """The places, from 0, at which blocks of ``BLOCK`` items begin.  What is built item by
+    item is built within blocks, so its cost does not grow with the square of their number."""
+    return F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, stop, value, before) of all matches; ``before`` is the ``CONTEXT``
     characters before the match."""
@@ -82,8 +95,50 @@ def matches(text: Column, pattern: str) -> Column:
         out = F.concat(so_far["out"], F.array(span))
         return F.struct(stop.alias("at"), tail.alias("tail"), out.alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
-    return F.aggregate(pairs, zero, step, lambda so_far: so_far["out"])
+    def total(items: Column) -> Column:
+        return F.aggregate(
+            items, F.lit(0), lambda sum, p: sum + F.length(p["gap"]) + F.length(p["value"])
+        )
+
+    def spans(pairs: Column, sizes: Column, first: Column, block: Column) -> Column:
+        # A match has a character at least, so these hold the context of the block's first.
+        warm = F.least(first, F.lit(CONTEXT))
+        ahead = F.slice(pairs, first - warm + 1, warm)
+        begin = F.aggregate(F.slice(sizes, F.lit(1), block), F.lit(0), lambda sum, n: sum + n)
+        zero = F.struct(
+            (begin - total(ahead)).alias("at"), F.lit("").alias("tail"), none.alias("out")
+        )
+        own = F.slice(pairs, first - warm + 1, warm + BLOCK)
+        return F.slice(F.aggregate(own, zero, step, lambda so_far: so_far["out"]), warm + 1, BLOCK)
+
+    def placed(pairs: Column) -> Column:
+        sizes = F.transform(firsts(pairs), lambda first: total(F.slice(pairs, first + 1, BLOCK)))
+        return let(
+            sizes,
+            lambda sizes: F.flatten(
+                F.transform(firsts(pairs), lambda first, block: spans(pairs, sizes, first, block))
+            ),
+        )
+
+    return let(pairs, placed)
+
+
+def free_ones(found: Column, taken: Column, keep) -> Column:
+    """The spans of ``found``, in their order, that pass ``keep`` and overlap none of ``taken``."""
+
+    def apart(part: Column) -> Column:
+        begin, end = F.get(part, F.lit(0))["start"], F.get(part, F.size(part) - 1)["stop"]
+        near = F.filter(taken, lambda b: (b["start"] < end) & (b["stop"] > begin))
+
+        def free(s: Column, near: Column) -> Column:
+            return ~F.exists(near, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+
+        return let(near, lambda near: F.filter(part, lambda s: keep(s) & free(s, near)))
+
+    blocks = F.transform(
+        firsts(found), lambda first: let(F.slice(found, first + 1, BLOCK), apart)
+    )
+    return F.flatten(blocks)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -101,23 +156,25 @@ def base_spans(docs: DataFrame) -> DataFrame:
         found = F.when(needs[kind], matches(F.col("_text"), pattern)).otherwise(none)
         out = out.withColumn(f"_{kind}", found)
         out = out.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, s -> {VALID[kind]})"))
-    taken = "concat(_email, _ip, _card, _phone)"
-    free = f"not exists({taken}, b -> b.start < s.stop and s.start < b.stop)"
-    number = (
-        f"length({_DIGITS}) >= {LEAST_DIGITS} and length(s.value) between {LEAST_CHARS} and {MOST_CHARS}"
-    )
+    out = out.withColumn("_taken", F.concat(*[f"_{kind}" for kind in BASE]))
+
+    def number(s: Column, most: int | None = None) -> Column:
+        digits, size = F.length(F.regexp_replace(s["value"], "[^0-9]", "")), F.length(s["value"])
+        fits = (digits >= LEAST_DIGITS) & size.between(LEAST_CHARS, MOST_CHARS)
+        return fits if most is None else fits & (digits <= most)
+
     keep = {
         "run": number,
-        "groups": f"{number} and length({_DIGITS}) <= {max(MOST_DIGITS.values())}",
-        "address": f"length(s.value) <= {MOST_ADDRESS}",
+        "groups": lambda s: number(s, max(MOST_DIGITS.values())),
+        "address": lambda s: F.length(s["value"]) <= MOST_ADDRESS,
     }
     for shape, pattern in SHAPES.items():
         possible = needs["email"] if shape == "address" else digit
         found = F.when(possible, matches(F.col("_text"), pattern)).otherwise(none)
         out = out.withColumn(f"_{shape}", found)
-        out = out.withColumn(f"_{shape}", F.expr(f"filter(_{shape}, s -> {keep[shape]} and {free})"))
+        out = out.withColumn(f"_{shape}", free_ones(F.col(f"_{shape}"), F.col("_taken"), keep[shape]))
     shaped = F.concat(*[f"_{shape}" for shape in SHAPES])
-    return out.withColumn("_shaped", shaped).drop("_text", *[f"_{shape}" for shape in SHAPES])
+    return out.withColumn("_shaped", shaped).drop("_text", "_taken", *[f"_{shape}" for shape in SHAPES])
 
 
 def occurrences(found: DataFrame) -> DataFrame:
@@ -131,19 +188,22 @@ def occurrences(found: DataFrame) -> DataFrame:
         F.expr(f"transform(_{kind}, s -> struct({fields}, '{kind}' as kind))") for kind in BASE
     ]
     other = F.expr(f"transform(_shaped, s -> struct({fields}, cast(null as string) as kind))")
-    none = "start:int,stop:int,value:string,before:string,kind:string,inner:boolean"
-    begin = "if(s.start >= a.reach, a.reach, a.begin)"
-    one = (
-        f"struct(s.start, s.stop, s.value, right(s.before, s.start - {begin}) as before, s.kind, "
-        "s.kind is null and s.start < a.reach as inner)"
-    )
-    placed = F.expr(
-        f"aggregate(array_sort(all), struct(0 as begin, 0 as reach, cast(array() as array<struct<{none}>>) "
-        f"as out), (a, s) -> struct({begin} as begin, greatest(a.reach, s.stop) as reach, "
-        f"concat(a.out, array({one})) as out), a -> a.out)"
+    listed = found.select("row", F.explode(F.concat(*seeds, other)).alias("s")).select("row", "s.*")
+    in_row = Window.partitionBy("row").orderBy("start", "back", "value", "before", "kind")
+    earlier = in_row.rowsBetween(Window.unboundedPreceding, -1)
+    until = in_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = listed.withColumn("reach", F.coalesce(F.max("stop").over(earlier), F.lit(0)))
+    reached = reached.withColumn("apart", F.when(F.col("start") >= F.col("reach"), F.col("reach")))
+    begun = reached.withColumn("begin", F.last("apart", ignorenulls=True).over(until))
+    listed = begun.select(
+        "row",
+        "start",
+        "stop",
+        "value",
+        F.right("before", F.col("start") - F.col("begin")).alias("before"),
+        "kind",
+        (F.col("kind").isNull() & (F.col("start") < F.col("reach"))).alias("inner"),
     )
-    listed = found.select("row", F.concat(*seeds, other).alias("all"))
-    listed = listed.select("row", F.explode(placed).alias("s")).select("row", "s.*")
     words = F.filter(F.split(F.lower("before"), r"[^\p{L}:=#]+"), lambda word: word != "")
     last = listed.withColumn("words", words)
     patterns = F.expr(
@@ -217,16 +277,15 @@ def personal_data(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("row", "spans")]
     found = base_spans(docs.select(*kept)).withColumn("row", F.monotonically_increasing_id())
     found = tables.written(found)
-    listed = F.sort_array(F.collect_list(F.struct("start", (-F.col("stop")).alias("back"), "kind")))
-    extra = bootstrap(found, tables).groupBy("row").agg(listed.alias("extra"))
     # Of several readings of a place, what lies in a longer one is left out.
-    span = f"struct({len(BASE)} as order, s.kind, s.start, -s.back as stop)"
-    whole = F.expr(
-        "aggregate(extra, struct(0 as reach, cast(array() as "
-        "array<struct<order:int,kind:string,start:int,stop:int>>) as out), (a, s) -> if(-s.back <= a.reach, "
-        f"a, struct(-s.back as reach, concat(a.out, array({span})) as out)), a -> a.out)"
+    reading = bootstrap(found, tables)
+    before = Window.partitionBy("row").orderBy("start", F.desc("stop"), "kind")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    reading = reading.withColumn("reach", F.coalesce(F.max("stop").over(before), F.lit(0)))
+    span = F.struct(F.lit(len(BASE)).alias("order"), "kind", "start", "stop")
+    extra = (
+        reading.where("stop > reach").groupBy("row").agg(F.collect_list(span).alias("extra"))
     )
-    extra = extra.select("row", whole.alias("extra"))
     own = [
         F.expr(f"transform(_{kind}, s -> struct({k} as order, '{kind}' as kind, s.start, s.stop))")
         for k, kind in enumerate(BASE)
@@ -259,12 +318,44 @@ def span_report(docs: DataFrame) -> DataFrame:
 def masked_documents(docs: DataFrame) -> DataFrame:
     """docs with every span, overlapping ones together, replaced by its kind in brackets."""
     found = personal_data(docs)
-    ordered = "array_sort(transform(spans, s -> struct(s.start as start, s.stop as stop, s.kind as kind)))"
-    masked = F.expr(
-        f"aggregate({ordered}, struct(0 as at, '' as out), (a, s) -> if(s.start < a.at, "
-        "struct(greatest(a.at, s.stop) as at, a.out as out), struct(s.stop as at, "
-        "concat(a.out, substring(text, a.at + 1, s.start - a.at), '[', upper(s.kind), ']') as out)), "
-        "a -> concat(a.out, substring(text, a.at + 1)))"
+    fields = "s -> struct(s.start as start, s.stop as stop, s.kind as kind)"
+    found = found.withColumn("spans", F.expr(f"array_sort(transform(spans, {fields}))"))
+
+    def furthest(spans: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(spans, lambda s: s["stop"])), F.lit(0))
+
+    def step(part: Column, begin: Column):
+        def add(so_far: Column, s: Column) -> Column:
+            gap = F.substring(part, so_far["at"] - begin + 1, s["start"] - so_far["at"])
+            name = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            inside = F.struct(
+                F.greatest(so_far["at"], s["stop"]).alias("at"), so_far["out"].alias("out")
+            )
+            after = F.struct(
+                s["stop"].alias("at"), F.concat(so_far["out"], gap, name).alias("out")
+            )
+            return F.when(s["start"] < so_far["at"], inside).otherwise(after)
+
+        return add
+
+    def block(spans: Column, first: Column) -> Column:
+        own = F.slice(spans, first + 1, BLOCK)
+
+        def written(ends: Column) -> Column:
+            begin, end = ends["begin"], ends["end"]
+            zero = F.struct(begin.alias("at"), F.lit("").alias("out"))
+            return let(
+                F.substring(F.col("text"), begin + 1, F.greatest(end - begin, F.lit(0))),
+                lambda part: F.aggregate(own, zero, step(part, begin), lambda a: a["out"]),
+            )
+
+        reach = furthest(F.slice(spans, F.lit(1), first))
+        return let(F.struct(reach.alias("begin"), furthest(own).alias("end")), written)
+
+    spans = F.col("spans")
+    masked = F.concat(
+        F.array_join(F.transform(firsts(spans), lambda first: block(spans, first)), ""),
+        F.substring(F.col("text"), furthest(spans) + 1, F.length("text")),
     )
     text = F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))
     return found.withColumn("text", text).select(*docs.columns)

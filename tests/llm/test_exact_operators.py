@@ -1,7 +1,9 @@
 """Operators with one right answer, against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpus import given, lower, odd_rows, prose, table, texts_of
-from gridfuse.llm import suffix_dedup, token_counts
+from gridfuse.llm import pii, suffix_dedup, token_counts
 from gridfuse.llm.decontaminate import contamination
 from gridfuse.llm.pii import masked_documents, span_report
 from gridfuse.llm.quality import clean_documents, judge, quality_report
@@ -315,6 +317,32 @@ def test_contexts_discover_addresses_and_spaced_numbers(spark):
     assert {k: found[k] for k in texts} == {k: spans for k, (_, spans) in texts.items()}
 
 
+def test_many_matches_in_one_text(spark, monkeypatch):
+    """Spans and masks across the borders of blocks, and a text of sixteen thousand numbers."""
+    rnd = random.Random(6)
+    parts = ["a.b@c.de", "10.0.0.1", "4111 1111 1111 1111", "+49 30 123456", "x", "é", "12"]
+    rows = [(k, "".join(rnd.choice(parts) + rnd.choice(["", " ", ", "]) for _ in range(60 * k))) for k in range(9)]
+    for block in (1, 3, pii.BLOCK):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        found = {r.doc_id: r for r in pii.personal_data(table(spark, rows)).collect()}
+        masked = {r.doc_id: r.text for r in masked_documents(table(spark, rows)).collect()}
+        for k, text in rows:
+            spans = [f"{s.kind}:{s.start}:{s.stop}" for s in found[k].spans if s.order < 4]
+            assert spans == spans_by_force(text)
+            out, at = "", 0
+            for start, stop, kind in sorted((s.start, s.stop, s.kind) for s in found[k].spans):
+                if start >= at:
+                    out += text[at:start] + f"[{kind.upper()}]"
+                at = max(at, stop)
+            assert masked[k] == out + text[at:]
+    monkeypatch.undo()
+    long = table(spark, [(1, " ".join(f"0301{k:06d}" for k in range(16_000)) + " 10.0.0.1" * 3000)])
+    began = time.monotonic()
+    row = span_report(long).first()
+    assert row.n_ip == 3000 and time.monotonic() - began < 40
+    assert masked_documents(long).first().text.endswith("[IP] [IP]")
+
+
 def test_masking(spark):
     docs = table(spark, [(1, "é a@b.cd and 10.0.0.1."), (2, None), (2, ""), (None, "a@b.cd")])
     masked = masked_documents(docs)
