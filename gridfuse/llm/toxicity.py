@@ -1,15 +1,15 @@
 """Toxicity by compression distance: two zstandard dictionaries, one more label.
 
-``fit`` takes a bounded sample of labelled rows.  The ordinary dictionary is trained on
-its ordinary texts.  The toxic one holds the words of toxic texts with byte sequences
-much more frequent there than in ordinary texts, and continues the ordinary one, so
-that ordinary words cost the same under both.  The gain of a window of text is its
-length compressed with the ordinary dictionary less that with the toxic one.  The
-thresholds are quantiles of the gains of ordinary windows, and a logistic function of
-the shares of windows above them gives the score; both are calibrated on each half of
-the sample with dictionaries of the other half.
-
-Scoring is one pass over the documents without an exchange; the model, about 120 kB
+``fit`` takes a bounded sample of labelled rows.  Both dictionaries are trained by
+zstandard: one on ordinary texts, the other on what sets toxic texts apart, their words
+with byte sequences much more frequent there than in ordinary texts.  The toxic one
+continues the ordinary one, so that ordinary words cost the same under both.  The gain
+of a window of text is its length compressed with the ordinary dictionary less that with
+the toxic one.  The thresholds are quantiles of the gains of ordinary windows, and a
+logistic function of the shares of windows above them gives the score; both are
+calibrated on each half of the sample with dictionaries of the other half.
+
+Scoring is one pass over the documents without an exchange; the model, at most 220 kB
 whatever the corpus, travels with the function.
 """
 
@@ -30,11 +30,11 @@ from gridfuse.llm.common import map_rows, texts_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 GRAM, WINDOW, LEVEL = 6, 128, 9
-#: Sizes of the dictionaries in bytes.
-ORDINARY_BYTES, TOXIC_BYTES = 110_000, 4_000
-#: A sequence is telling if as large a share of the pairs of words has it (and at least
-#: ``LEAST_PAIRS``), and so many times the share of the ordinary pairs.
-LEAST_SHARE, LEAST_PAIRS, LEAST_ODDS = 1e-4, 4, 12.0
+#: Size of either dictionary in bytes, within which zstandard chooses its content.
+DICTIONARY_BYTES = 110_000
+#: A sequence is telling if so many pairs of toxic words have it, and so many times as large
+#: a share of them as of the ordinary pairs.  A count, so that a small language's qualify.
+LEAST_PAIRS, LEAST_ODDS = 16, 12.0
 QUANTILES = (0.9, 0.97, 0.99, 0.997)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -110,10 +110,9 @@ def spaced(word: bytes) -> set[bytes]:
 def trained(samples: list[bytes]) -> bytes:
     """A zstandard dictionary, or the samples themselves where they are too few for one."""
     try:
-        found = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        found = b"".join(samples)
-    return found[-ORDINARY_BYTES:]
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def word_pairs(texts: list[bytes]) -> set[tuple[bytes, bytes]]:
@@ -125,8 +124,8 @@ def word_pairs(texts: list[bytes]) -> set[tuple[bytes, bytes]]:
     return pairs
 
 
-def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """The telling words of toxic texts, the most frequent last, where matches cost least."""
+def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Words of toxic texts with byte sequences that ordinary texts hardly have."""
     pairs, usual = word_pairs(toxic), word_pairs(ordinary)
     words, in_toxic, in_ordinary = Counter(w for _, w in pairs), Counter(), Counter()
     for counts, of in ((in_toxic, words), (in_ordinary, Counter(w for _, w in usual))):
@@ -134,19 +133,23 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
             for gram in spaced(word):
                 counts[gram] += n
     factor = (len(usual) + 1) / (len(pairs) + 1)
-    least = max(LEAST_PAIRS, LEAST_SHARE * len(pairs))
     telling = {
         g
         for g, n in in_toxic.items()
-        if n >= least and (n + 0.5) * factor >= LEAST_ODDS * (in_ordinary[g] + 0.5)
+        if n >= LEAST_PAIRS and (n + 0.5) * factor >= LEAST_ODDS * (in_ordinary[g] + 0.5)
     }
-    found = [w for w in words if not telling.isdisjoint(spaced(w))]
-    found.sort(key=lambda w: (words[w], w))
-    return (b" " + b" ".join(found) + b" ")[-TOXIC_BYTES:] if found else b""
+    return {w for w in words if not telling.isdisjoint(spaced(w))}
+
+
+def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """What sets each toxic text apart: its telling words, in their order."""
+    telling = telling_words(toxic, ordinary)
+    kept = ([w for w in WORD.findall(text) if w in telling] for text in toxic)
+    return [b" " + b" ".join(words) + b" " for words in kept if words]
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    return trained(ordinary), distinctive(toxic, ordinary)
+    return trained(ordinary), trained(distinctive(toxic, ordinary))
 
 
 def fitted_weights(rows: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
@@ -171,13 +174,15 @@ def fit(
 ) -> Model:
     """A model from at most ``per_class`` rows of either label.
 
-    ``labels`` has the rows to learn from (doc_id, toxic); of those with a text of at
-    most ``longest`` bytes the first by a hash of their id are taken, so the driver
-    gets at most 2 * per_class * longest bytes.  Without rows of both labels the
+    ``labels`` has the rows to learn from (doc_id, toxic).  Of those with a usable text, one
+    of 1 to ``longest`` bytes, the first by a hash of their id are taken, so the driver
+    gets at most 2 * per_class * longest bytes.  Without usable rows of both labels the
     model scores every text 0.
     """
+    usable = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= longest))
     marked = labels.where("toxic in (0, 1) and doc_id is not null")
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = marked.join(usable.select("doc_id"), "doc_id", "left_semi")
     counts = {row.toxic: row["count"] for row in marked.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return Model(b"", b"", (), ())
@@ -189,8 +194,7 @@ def fit(
     # At most 2 * per_class ids: a proven bound for the broadcast.
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = (
-        docs.select("doc_id", "text")
-        .where((F.octet_length("text") > 0) & (F.octet_length("text") <= longest))
+        usable.select("doc_id", "text")
         .join(ids, "doc_id")
         .groupBy("doc_id", "toxic")
         .agg(F.min("text").alias("text"))
@@ -202,7 +206,7 @@ def fit(
 
 
 def fit_texts(toxic: list[str], ordinary: list[str], prior: float) -> Model:
-    """``prior``: the share of toxic rows among all that are labelled."""
+    """``prior``: the share of toxic rows among all usable ones."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     if min(len(toxic), len(ordinary)) < 2:
         return Model(b"", b"", (), ())

@@ -7,14 +7,16 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from corpus import given, odd_rows, prose, table, texts_of, words_of
 from gridfuse.llm import maxent, near_dedup, packing, toxicity
-from gridfuse.llm.common import Workspace
+from gridfuse.llm.common import Workspace, slices
 from gridfuse.llm.components import component_stars
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -203,6 +205,50 @@ def test_toxicity_on_held_out_texts():
     assert sum(hits) >= 36 and sum(wrong) <= 3
 
 
+def test_gains_and_thresholds_by_hand():
+    """Both dictionaries come from zstandard; gains are differences of compressed lengths."""
+    toxic = [f"{prose(k, 40)} dumbhead stupido {prose(k + 50, 9)} wortless" for k in range(60)]
+    ordinary = [prose(2000 + k, 60) for k in range(90)]
+    model = toxicity.fit_texts(toxic, ordinary, 0.4)
+    low = [sorted(t.lower().encode() for t in set(texts)) for texts in (toxic, ordinary)]
+    assert b"dumbhead" in model.toxic and model.ordinary == toxicity.trained(low[1])
+
+    def length(piece, content):
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        written = zstandard.ZstdCompressor(
+            level=toxicity.LEVEL, dict_data=dictionary, write_content_size=False,
+            write_checksum=False, write_dict_id=False,
+        ).compress(piece)
+        return len(written)
+
+    def gains(text, dictionaries):
+        plain, other = dictionaries
+        pieces = toxicity.windows(text.lower().encode())
+        assert b" ".join(pieces) == text.lower().encode()
+        return [length(p, plain) - length(p, other + plain) for p in pieces]
+
+    for text in (toxic[0], ordinary[0], "dumbhead", ""):
+        found = toxicity.Gains(model.ordinary, model.toxic).of(text).tolist()
+        assert found == gains(text, (model.ordinary, model.toxic))
+    usual = []
+    for half in (0, 1):
+        halves = [sorted(set(texts))[1 - half :: 2] for texts in (toxic, ordinary)]
+        pair = toxicity.dictionaries(*([t.lower().encode() for t in texts] for texts in halves))
+        usual += [g for text in sorted(set(ordinary))[half::2] for g in gains(text, pair)]
+    wanted = [max(float(np.quantile(usual, q)), 1) + k for k, q in enumerate(toxicity.QUANTILES)]
+    assert model.thresholds == pytest.approx(wanted)
+
+
+def test_toxicity_samples_usable_rows(spark):
+    """Rows without a usable text take no place in the sample, whatever their hash."""
+    rows = [(i, None if i % 3 == 0 else "" if i % 3 == 1 else prose(i, 30)) for i in range(90)]
+    labels = spark.createDataFrame([(i, i // 3 % 2) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, rows), labels, per_class=15)
+    texts = {y: [t for i, t in rows if t and i // 3 % 2 == y] for y in (0, 1)}
+    assert model == toxicity.fit_texts(texts[1], texts[0], 0.5)
+    assert toxicity.fit(table(spark, rows), labels, per_class=15, longest=10).weights == ()
+
+
 def test_toxicity_rows(spark):
     docs = table(spark, odd_rows())
     labels = spark.createDataFrame([(1, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
@@ -315,6 +361,27 @@ def test_pipeline_stages(spark):
     assert after.agg(F.countDistinct("doc_id")).first()[0] == before.count()
 
 
+def test_near_dedup_keeps_every_text_of_a_repeated_id(spark):
+    one, other = prose(1, 80), prose(2, 80)
+    given_rows = [(1, one), (2, one), (2, other), (2, other), (3, other), (None, one), (None, one)]
+    for rows in (given_rows, given_rows[:2] + given_rows[4:]):
+        docs = table(spark, rows)
+        kept = corpus_pipeline.near_dedup(spark, docs, "")
+        assert kept.columns == docs.columns
+        found = Counter((r.doc_id, r.text) for r in kept.collect())
+        first = 2 if (2, other) in rows else 3
+        assert found == Counter({(1, one): 1, (first, other): 1, (None, one): 2})
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    texts = ["x" * (k % 7) * 100 for k in range(500)] + ["y" * 50_000] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(slices(batch, 4000))
+    assert [t for part in parts for t in part.column("text").to_pylist()] == texts
+    assert len(parts) > 20 and len(list(slices(batch))) == 1
+    assert list(slices(batch.slice(0, 0))) == []
+
+
 def test_pipeline_of_odd_rows(spark):
     sf_dir = "/root/testdata/sf0.001"
     for rows in (odd_rows(), []):
