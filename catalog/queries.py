@@ -391,6 +391,50 @@ def fused_by_sql(spark, sf_dir):
     return _fused_cells(fused.where(layout.owner_row(STRIPS) == F.col("tile_row")))
 
 
+def fused_by_group(spark, sf_dir):
+    """The fusion as an aggregate of tiles, cut in both directions."""
+    window_fusion.register_tile_fusion(spark, "fuse_tile", grid=TILES)
+    tiles = spark.sql(
+        """SELECT scene, tile_col, inline(lines) FROM (
+             SELECT scene, tile_row, tile_col,
+                    fuse_tile(tile_row, row_key, fine1, fine2, coarse1, coarse2, coarse0, t1, t2)
+                      AS lines
+             FROM {tiles} GROUP BY scene, tile_row, tile_col)""",
+        tiles=_limited(spark, sf_dir),
+    )
+    return _fused_cells(fusion.join_parts(tiles))
+
+
+def fused_with_moments(spark, sf_dir):
+    """Lines and their sums stored; thresholds from the sums, without a second read of cells."""
+    path = store.shared_folder(spark)
+    store.write_lines(_lines(spark, sf_dir), f"{path}/lines")
+    lines = spark.read.parquet(f"{path}/lines")
+    store.write_moments(lines, f"{path}/moments", TILES)
+    moments = store.read_moments(spark, f"{path}/moments")
+    return _fused_cells(fusion.fuse(lines, grid=TILES, moments=moments))
+
+
+def tiles_in_box(spark, sf_dir):
+    """Lines 40 to 90, columns 20 to 70 of every scene, from tiles stored along a curve."""
+    path = store.shared_folder(spark)
+    cut = layout.cut_tiles(_stack(spark, sf_dir), BANDS, TILES)
+    store.write_tiles(cut, path, 16)
+    held = spark.read.parquet(path).where(layout.in_box(40, 90, 20, 70, TILES))
+    own = held.where(layout.owner_row(TILES) == F.col("tile_row"))
+    at = F.col("at") + F.col("tile_col") * TILES.tile_cols
+    cells = own.select(
+        *LINE_KEY, "tile_col", F.posexplode(F.slice("fine1", F.lit(1), F.lit(TILES.tile_cols))).alias("at", "fine1")
+    )
+    cells = cells.select(*LINE_KEY, at.cast("int").alias("col"), "fine1")
+    return cells.where("row_key between 40 and 90 and col between 20 and 70")
+
+
+def rows_from_very_wide(spark, sf_dir):
+    rows = wide.transposed_rows(_wide(spark, sf_dir, "fine1"), "fine1", "s0")
+    return rows.select("scene", "band", "row_key", _text("pixels").alias("cells"))
+
+
 # Regression
 
 
@@ -517,6 +561,10 @@ QUERIES = {
         fused_packed_tiles,
         fused_preview,
         fused_by_sql,
+        fused_by_group,
+        fused_with_moments,
+        tiles_in_box,
+        rows_from_very_wide,
         regression_fit,
         regression_eval,
         fused_large_values,

@@ -350,6 +350,14 @@ FROM predicted""",
     "fused": _with(_fusion(), _FUSED_CELLS),
     "fused_expr": _with(_fusion(), _FUSED_CELLS),
     "fused_by_sql": _with(_fusion(), _FUSED_CELLS),
+    "fused_by_group": _with(_fusion(), _FUSED_CELLS),
+    "fused_with_moments": _with(_fusion(), _FUSED_CELLS),
+    "tiles_in_box": _with(
+        [_PIX],
+        """SELECT scene, row_key, col, fine1 FROM pix
+WHERE row_key BETWEEN 40 AND 90 AND col BETWEEN 20 AND 70""",
+    ),
+    "rows_from_very_wide": _WIDE,
     "fused_published_slope": _with(_fusion(slope="fine_on_coarse"), _FUSED_CELLS),
     "fused_zero_change": _with(_fusion(zero_change="zero"), _FUSED_CELLS),
     "fused_six_classes": _with(_fusion(num_class=6), _FUSED_CELLS),

@@ -6,8 +6,13 @@
     FROM strips
 
 The frame holds the line and those below it; ``PARTITION BY`` keeps an image out
-of a single task.  It runs once per line, so a whole image is better left to
-``gridfuse.plans.fuse``, which runs once per tile.
+of a single task.  It runs once per line and takes up each line five times.  For whole
+images there is the aggregate of a tile, which runs once per tile:
+
+    SELECT scene, tile_col, inline(lines) FROM (
+      SELECT scene, tile_row, tile_col,
+             fuse_tile(tile_row, row_key, fine1, fine2, coarse1, coarse2, coarse0, t1, t2) AS lines
+      FROM tiles GROUP BY scene, tile_row, tile_col)
 """
 
 import numpy as np
@@ -16,8 +21,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridfuse.operators.kernel import fuse_grids
-from gridfuse.schema import BANDS
+from gridfuse.operators.kernel import fuse_grids, fuse_tile
+from gridfuse.schema import BANDS, Grid
 
 
 def fusion_function(
@@ -63,6 +68,71 @@ def fusion_function(
     return fuse_line
 
 
+FUSED_LINES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("row_key", T.IntegerType()),
+            T.StructField("pixels", T.ArrayType(T.DoubleType())),
+        ]
+    )
+)
+
+
+def tile_fusion_function(
+    grid: Grid = Grid(), slope: str = "coarse_on_fine", zero_change: str = "limit"
+):
+    """The aggregate of a whole tile, for ``GROUP BY``: its fused lines, ordered by key.
+
+    One call per tile, each line taken up once, so columns may be cut as well as lines.
+    """
+
+    @F.arrow_udf(FUSED_LINES)
+    def fuse_tile_lines(
+        tile_row: pa.Array,
+        row_key: pa.Array,
+        fine1: pa.Array,
+        fine2: pa.Array,
+        coarse1: pa.Array,
+        coarse2: pa.Array,
+        coarse0: pa.Array,
+        t1: pa.Array,
+        t2: pa.Array,
+    ) -> pa.Scalar:
+        lines, n = dict(zip(BANDS, (fine1, fine2, coarse1, coarse2, coarse0))), len(row_key)
+        table = pa.table(
+            {
+                "tile_row": pa.concat_arrays([tile_row] * len(BANDS)),
+                "row_key": pa.concat_arrays([row_key] * len(BANDS)),
+                "band": pa.array([band for band in BANDS for _ in range(n)]),
+                "pixels": pa.concat_arrays([_filled(lines[band]) for band in BANDS]),
+                "t1": pa.concat_arrays([t1] * len(BANDS)),
+                "t2": pa.concat_arrays([t2] * len(BANDS)),
+            }
+        )
+        keys, ends, values = fuse_tile(table, grid, slope, zero_change)
+        fused = [
+            {"row_key": int(key), "pixels": values[begin:end].tolist()}
+            for key, begin, end in zip(keys, ends, ends[1:])
+        ]
+        kind = pa.list_(pa.struct([("row_key", pa.int32()), ("pixels", pa.list_(pa.float64()))]))
+        return pa.scalar(fused, kind)
+
+    return fuse_tile_lines
+
+
+def _filled(lines: pa.Array) -> pa.Array:
+    """Lines whose null cells are no-data, from the beginning of their buffers."""
+    cells = lines.flatten().fill_null(0)
+    lengths = np.diff(lines.offsets.to_numpy())
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), cells)
+
+
+def register_tile_fusion(spark: SparkSession, name: str = "fuse_tile", **options):
+    """Make the grouped aggregate known to SQL under a name."""
+    return spark.udf.register(name, tile_fusion_function(**options))
+
+
 def register_fusion(spark: SparkSession, name: str = "fuse_line", **options):
     """Make the aggregate known to SQL under a name."""
     return spark.udf.register(name, fusion_function(**options))

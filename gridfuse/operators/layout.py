@@ -221,3 +221,39 @@ def range_layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     number = [] if partitions is None else [partitions]
     return df.repartitionByRange(*number, *LINE_KEY).sortWithinPartitions(*LINE_KEY)
+
+
+def _spread_bits(number: Column) -> Column:
+    """The low 31 bits of a number, a zero after each: for numbers from 0 to 2**31 - 1."""
+    # Masks of the usual doubling of gaps between bits.
+    masks = (0x0000FFFF0000FFFF, 0x00FF00FF00FF00FF, 0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x5555555555555555)
+    spread = number.cast("bigint")
+    for shift, mask in zip((16, 8, 4, 2, 1), masks):
+        spread = spread.bitwiseOR(F.shiftleft(spread, shift)).bitwiseAND(F.lit(mask))
+    return spread
+
+
+def curve_key(tile_row="tile_row", tile_col="tile_col") -> Column:
+    """The place of a tile on the Z-order curve.  Rows and columns below 0 are shifted up."""
+    row, col = (F.col(c).cast("bigint") for c in (tile_row, tile_col))
+    low = 2**30
+    return F.shiftleft(_spread_bits(row + low), 1).bitwiseOR(_spread_bits(col + low))
+
+
+def curve_layout(tiles: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Tiles range-partitioned and sorted along the curve, scene by scene.
+
+    Lines of a tile stay together unless a tile is larger than a partition.
+    """
+    number = [] if partitions is None else [partitions]
+    order = ["scene", "_curve", "row_key"]
+    placed = tiles.withColumn("_curve", curve_key())
+    return placed.repartitionByRange(*number, *order).sortWithinPartitions(*order).drop("_curve")
+
+
+def in_box(first_line: int, last_line: int, first_col: int, last_col: int, grid: Grid) -> Column:
+    """The test for tiles that own cells of a box; in constants, so that it reaches the scan."""
+    rows = F.col("tile_row").between(first_line // grid.tile_rows, last_line // grid.tile_rows)
+    if grid.tile_cols is None:
+        return rows
+    return rows & F.col("tile_col").between(first_col // grid.tile_cols, last_col // grid.tile_cols)

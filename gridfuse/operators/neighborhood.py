@@ -18,7 +18,7 @@ from gridfuse.operators.layout import (
     strips_of_line,
     tile_list,
 )
-from gridfuse.operators.stats import scene_limits
+from gridfuse.operators.stats import limits_from, scene_limits
 from gridfuse.schema import BANDS, LINE_KEY, NUM_CLASS, TILE_KEY, Grid
 
 NEAR = "near_"
@@ -35,13 +35,18 @@ def with_limits(
     num_class: int = NUM_CLASS,
     grid: Grid = Grid(),
     whole: DataFrame | None = None,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     """Add the similarity thresholds ``t1`` and ``t2`` to every tile.
 
     ``images`` is the STACK or RASTER_ROWS table that was cut, and ``whole`` that of all
-    lines where only some were.  The join keeps the distribution of :func:`spread_tiles`.
+    lines where only some were.  With stored ``moments`` no cell is read for the
+    thresholds.  The join keeps the distribution of :func:`spread_tiles`.
     """
-    limits = scene_limits(fine_lines(images if whole is None else whole), num_class, grid)
+    if moments is not None:
+        limits = limits_from(moments, num_class)
+    else:
+        limits = scene_limits(fine_lines(images if whole is None else whole), num_class, grid)
     return tiles.join(tile_list(images, limits, grid), TILE_KEY, "left")
 
 

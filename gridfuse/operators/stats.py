@@ -106,6 +106,15 @@ def _strip_moments(rows: DataFrame, grid: Grid) -> DataFrame:
     return sums.withColumn("squares", squares.cast("decimal(28,0)"))
 
 
+def strip_moments(rows: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """Mergeable sums per image and strip: ``scene, band, tile_row, n_cols, n, total, squares``.
+
+    Whole numbers, so sums of any parts of an image combine to those of the whole, exactly.
+    ``store.write_lines(..., moments=True)`` keeps them beside the lines.
+    """
+    return _strip_moments(rows, grid).drop("high", "low")
+
+
 def image_mean(rows: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """Mean of each image, no-data cells included."""
     mean = F.sum("total").cast("double") / F.sum("n")
@@ -135,6 +144,11 @@ def similarity_threshold(
 def scene_limits(rows: DataFrame, num_class: int = NUM_CLASS, grid: Grid = Grid()) -> DataFrame:
     """The similarity thresholds and the width of each scene: ``scene, t1, t2, n_cols``."""
     fine = rows.where(F.col("band").isin("fine1", "fine2"))
+    return limits_from(_strip_moments(fine, grid), num_class)
+
+
+def limits_from(moments: DataFrame, num_class: int = NUM_CLASS) -> DataFrame:
+    """The same from stored :func:`strip_moments`, without reading a cell."""
 
     def limit(band):
         n, total, squares = (
@@ -143,7 +157,7 @@ def scene_limits(rows: DataFrame, num_class: int = NUM_CLASS, grid: Grid = Grid(
         return F.round(_spread(n, total, squares) * 2 / num_class, 6)
 
     return (
-        _strip_moments(fine, grid)
+        moments.where(F.col("band").isin("fine1", "fine2"))
         .groupBy("scene")
         .agg(
             limit("fine1").alias("t1"),

@@ -15,10 +15,14 @@ from gridfuse.schema import BANDS, LINE_KEY, NUM_CLASS, TILE_KEY, Grid
 
 
 def _limited_tiles(
-    images: DataFrame, num_class: int, grid: Grid, whole: DataFrame | None
+    images: DataFrame,
+    num_class: int,
+    grid: Grid,
+    whole: DataFrame | None,
+    moments: DataFrame | None,
 ) -> DataFrame:
     tiles = spread_tiles(cut_tiles(as_lines(images), ["pixels"], grid), grid)
-    return with_limits(tiles, images, num_class, grid, whole)
+    return with_limits(tiles, images, num_class, grid, whole, moments)
 
 
 def _by_arrow(
@@ -68,6 +72,7 @@ def fuse_parts(
     engine: str = "arrow",
     packed: bool = False,
     whole: DataFrame | None = None,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     """The fused image as parts of lines: ``scene, row_key, tile_col, pixels``.
 
@@ -77,7 +82,8 @@ def fuse_parts(
     ``engine`` is ``arrow`` (whole tiles in numpy) or ``expr`` (column
     expressions only); both give the same image.  ``packed`` gives the result
     as big-endian float32 blobs instead of arrays of double.  Where ``images`` holds only
-    some lines, ``whole`` has all of them, for the thresholds.
+    some lines, ``whole`` has all of them, for the thresholds; ``moments``, stored with the
+    lines (``store.read_moments``), gives the thresholds without that second read.
     """
     if slope not in SLOPES:
         raise ValueError(f"unknown slope {slope!r}")
@@ -86,7 +92,7 @@ def fuse_parts(
     engines = {"arrow": _by_arrow, "expr": _by_expressions}
     if engine not in engines:
         raise ValueError(f"unknown engine {engine!r}")
-    tiles = _limited_tiles(images, num_class, grid, whole)
+    tiles = _limited_tiles(images, num_class, grid, whole, moments)
     return engines[engine](tiles, slope, zero_change, grid, packed)
 
 
@@ -98,13 +104,14 @@ def fuse(
     grid: Grid = Grid(),
     engine: str = "arrow",
     packed: bool = False,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     """The fused image, one row per line: ``scene, row_key, pixels``.
 
     Uncut lines (``grid.tile_cols=None``) need no regrouping; otherwise the
     parts of each line meet in one further exchange of the result alone.
     """
-    parts = fuse_parts(images, num_class, slope, zero_change, grid, engine, packed)
+    parts = fuse_parts(images, num_class, slope, zero_change, grid, engine, packed, moments=moments)
     if grid.tile_cols is None:
         return parts.select(*LINE_KEY, "pixels")
     return join_parts(parts)

@@ -5,8 +5,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridfuse.operators.layout import range_layout
-from gridfuse.schema import LINE_KEY
+from gridfuse.operators.layout import curve_layout, range_layout
+from gridfuse.operators.stats import strip_moments
+from gridfuse.schema import LINE_KEY, Grid
 
 
 def write_wide(wide: DataFrame, path: str) -> None:
@@ -34,6 +35,29 @@ def write_lines(rows: DataFrame, path: str, partitions: int | None = None) -> No
     writer.parquet(path)
 
 
+def write_moments(rows: DataFrame, path: str, grid: Grid = Grid()) -> None:
+    """The sums of every image and strip (``stats.strip_moments``), to lie beside its lines.
+
+    Lines that are added later append their own: sums of parts combine to those of the whole.
+    """
+    strip_moments(rows, grid).write.mode("append").parquet(path)
+
+
+def read_moments(spark: SparkSession, path: str) -> DataFrame:
+    """Stored sums, for the thresholds of a fusion (``fuse(..., moments=...)``)."""
+    return spark.read.parquet(path)
+
+
+def write_tiles(tiles: DataFrame, path: str, partitions: int) -> None:
+    """Tiles in the order of a space-filling curve, so that a box of tiles reads few files.
+
+    Neighbours in both directions are near each other on the curve; each file holds a
+    stretch of it, whose bounds of ``tile_row`` and ``tile_col`` are in its statistics.
+    """
+    laid = curve_layout(tiles, partitions)
+    laid.write.parquet(path)
+
+
 def write_bucketed(rows: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """An image (RASTER_ROWS or STACK) as a table bucketed and sorted on the line key.
 

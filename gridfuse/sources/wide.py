@@ -5,6 +5,10 @@ a double, and as a rule ``__index_level_0__`` with the line number as the last
 column.  Convert such a file once; everything else works on RASTER_ROWS.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,9 @@ from gridfuse.schema import BANDS
 # Fixed value: the name that a stored pandas index has in parquet.
 INDEX_COLUMN = "__index_level_0__"
 
+#: How much of a wide table is turned at a time.
+COLUMNS_AT_ONCE, LINES_AT_ONCE = 512, 256
+
 #: Up to so many files, one row of a few hundred bytes each, their starts go to all tasks.
 BROADCAST_FILES = 20_000
 _FILE = "__file__"
@@ -51,6 +58,59 @@ def rows_from_wide(
     )
 
 
+def transposed_rows(
+    wide: DataFrame, band: str, scene: str = "s0", key: str | None = None
+) -> DataFrame:
+    """:func:`rows_from_wide` for files of very many columns, in Arrow batches.
+
+    A plan with an expression per column grows with the width of the image; here columns are
+    put together as arrays in blocks of ``COLUMNS_AT_ONCE``, by one function whatever the
+    width.  Results are the same.
+    """
+    names = wide.columns
+    line = key if key is not None else names[-1]
+    pixels = [c for c in names if c != line]
+    if key is None and line == INDEX_COLUMN:
+        pixels = pixels[:-1]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # Few lines at a time: a line of ten thousand columns is 80 kB.
+            for first in range(0, whole.num_rows, LINES_AT_ONCE):
+                batch = whole.slice(first, LINES_AT_ONCE)
+                if batch.column(line).null_count:
+                    raise ValueError("a line of a wide table has no line number")
+                cells = np.zeros((batch.num_rows, len(pixels)), np.int32)
+                for left in range(0, len(pixels), COLUMNS_AT_ONCE):
+                    for c in range(left, min(left + COLUMNS_AT_ONCE, len(pixels))):
+                        values = batch.column(pixels[c]).cast(pa.float64()).fill_null(0)
+                        cells[:, c] = _digital_numbers(values.to_numpy(zero_copy_only=False))
+                ends = np.arange(0, cells.size + 1, len(pixels) or 1, dtype=np.int32)
+                if not pixels:
+                    ends = np.zeros(batch.num_rows + 1, np.int32)
+                numbers = np.trunc(batch.column(line).to_numpy(zero_copy_only=False)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([scene] * batch.num_rows),
+                        pa.array([band] * batch.num_rows),
+                        pa.array(numbers),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.ravel())),
+                    ],
+                    names=["scene", "band", "row_key", "pixels"],
+                )
+
+    wanted = wide.select(*[f"`{c}`" for c in [*pixels, line]])
+    return wanted.mapInArrow(over, "scene string, band string, row_key int, pixels array<int>")
+
+
+def _digital_numbers(cells: np.ndarray) -> np.ndarray:
+    """Truncated toward zero; what is no number or outside int is no-data."""
+    whole = np.trunc(cells)
+    with np.errstate(invalid="ignore"):
+        inside = (whole >= -(2.0**31)) & (whole < 2.0**31)
+    return np.where(inside, whole, 0).astype(np.int32)
+
+
 def read_image(spark: SparkSession, path: str, band: str, scene: str = "s0") -> DataFrame:
     """A wide file that carries its line numbers, as RASTER_ROWS."""
     return rows_from_wide(spark.read.parquet(path), band, scene)
