@@ -138,6 +138,11 @@ def fused_rows(fused: DataFrame) -> DataFrame:
     return fused.select(*LINE_KEY, F.col("pixels").cast("array<float>").alias("pixels"))
 
 
+def fused_preview(fused: DataFrame, lines: int = 20) -> DataFrame:
+    """The first lines of a fused image that is there already; else :func:`fuse_preview`."""
+    return fused.orderBy(*LINE_KEY).limit(lines)
+
+
 def preview_keys(images: DataFrame, lines: int = 20) -> list[tuple[str, int]]:
     """The first line keys that all five bands have; only keys are read."""
     keys = images.select(*LINE_KEY)
