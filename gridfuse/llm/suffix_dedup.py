@@ -1,13 +1,14 @@
-"""Repeated byte strings by a radix sort of suffixes that stops at the threshold.
+"""Repeated byte strings of a threshold length, by anchors chosen from their content.
 
-The suffixes of all texts are ordered through their first ``LENGTH`` bytes only, a digit
-of many bytes at a time, most significant first.  A group of one leaves the sort; the
-groups left after the last digit are exactly the windows of ``LENGTH`` bytes that repeat.
+A depth-limited radix sort would order all suffixes through their first ``LENGTH`` bytes,
+digit by digit; the groups left after the last digit are exactly the windows of ``LENGTH``
+bytes that repeat.  These groups are found here without ordering suffixes by their leading
+bytes, since every suffix would be a row of its own.
 
-The first digit is chosen by content: of the ``GRAM``-byte strings in a window the one
-with the least hash (the leftmost of equals) is its anchor.  Equal windows have equal anchors
-at equal places, and neighbouring windows mostly share one, so suffixes travel as runs of
-about 30 that share an anchor, one row each.
+Instead the first key is chosen by content: of the ``GRAM``-byte strings in a window the
+one with the least hash (the leftmost of equals) is its anchor.  Equal windows have equal
+anchors at equal places, and neighbouring windows mostly share one, so suffixes travel as
+runs of about 30 that share an anchor, one row each.
 
 1. Runs meet by anchor.  A run whose whole content occurs earlier is repeated as a whole
    and done, and so is a run whose anchor no other content has, which is unique.
