@@ -5,13 +5,20 @@ frequent words and the end of a text are classes of their own; any other word be
 one of ``SUFFIXES`` classes by its last two bytes.  Within a class a word has its share of
 the training tokens, smoothed, with one place for all unknown words.  The class is
 predicted by a softmax over features of the two classes before: the last (n-gram), the
-one before it (skip), and both together, hashed into ``BUCKETS`` rows.
+one before it (skip), and both together, hashed into ``BUCKETS`` rows.  A last word that
+is not a class of its own is a feature by itself too: its hash gives it one of the word
+rows of its class, whose number grows with the training tokens, up to ``MOST_UNITS``.
 
 All training text is counted: words, and how often each class follows each pair of
 classes.  These counts, a table of at most CLASSES**3 rows, are a sufficient statistic of
-the class model, so each distributed gradient step reads them instead of the text; every
-task sums the gradient of its histories, the sums are reduced in a tree, and the driver
-applies the update.  Model and gradient have a fixed size.
+the class model, so each distributed gradient step reads them instead of the text; at
+most ``GRADIENT_TASKS`` tasks sum the gradients of their histories, blocks of rows are
+added in an exchange, and the driver gets one gradient and applies the update.
+
+Word rows are trained after that, with the class features held.  What a row needs is how
+often each class follows its words and how often each class is two before: counts that
+grow with the corpus until every row is full.  Rows do not meet in a history, so all steps
+of a row run in the task that has its counts.
 
 Words are known by 64-bit hashes.  The ``FREQUENT`` most frequent ones and their counts
 travel to the tasks; all others meet their counts in a join.
@@ -37,6 +44,15 @@ END_CLASS = CLASSES - 1
 BUCKETS = 4096
 FREQUENT = 1 << 18
 STEPS, RATE, SMOOTH = 8, 0.15, 0.1
+#: Tasks that sum gradients, and blocks of rows in which the sums are added.
+GRADIENT_TASKS, GRADIENT_BLOCKS = 64, 16
+#: Word rows: one for so many training tokens, and the bounds of their number.  Tasks hold six
+#: bytes for each row and class.
+TOKENS_A_UNIT, LEAST_UNITS, MOST_UNITS = 128, 1 << 10, 1 << 15
+#: Steps of a word row, and the tokens that its prior, the class model, is worth.
+UNIT_STEPS, UNIT_PRIOR = 12, 20.0
+#: Word rows that are trained together.
+UNIT_BLOCK = 256
 #: Rows of the weights: bias, one class before, two before, both.
 ROWS = 1 + CLASSES + CLASSES + BUCKETS
 END_HASH = 0x656E64206F662074
@@ -115,6 +131,29 @@ def classes_of(data, words: Words, vocabulary: Vocabulary):
     return cls, place
 
 
+def unit_number(tokens: int) -> int:
+    """Word rows for so many training tokens: a power of two."""
+    wanted = 1 << max(0, tokens // TOKENS_A_UNIT).bit_length()
+    return min(max(wanted, LEAST_UNITS), MOST_UNITS)
+
+
+def units_of(hashes: np.ndarray, cls: np.ndarray, units: int) -> np.ndarray:
+    """The word row of each word; ``units``, a row without effect, for classes of one word."""
+    each = units // SUFFIXES
+    inner = (cls >= TOP) & (cls < END_CLASS)
+    own = (mix(hashes) % np.uint64(each)).astype(np.int64)
+    return np.where(inner, (cls - TOP) * each + own, units)
+
+
+def unit_before(unit: np.ndarray, bounds: np.ndarray, units: int) -> np.ndarray:
+    """The word row of the word before every word and the end of every text."""
+    n, counts = len(bounds) - 1, np.diff(bounds)
+    out = np.full(len(unit) + n, units, np.int64)
+    # A word stands one place before its follower, and ends take a place for each text.
+    out[np.arange(len(unit)) + np.repeat(np.arange(n), counts) + 1] = unit
+    return out
+
+
 def histories(cls: np.ndarray, bounds: np.ndarray):
     """(two before, one before, class, text) for every word and the end of every text."""
     n = len(bounds) - 1
@@ -132,27 +171,35 @@ def histories(cls: np.ndarray, bounds: np.ndarray):
     return two, one, tokens, text
 
 
-def class_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(history, cls, n): how often each class follows each pair of classes."""
+#: The first code of the counts of word rows, behind those of histories.
+UNIT_CODES = CLASSES**3
+
+
+def context_counts(docs: DataFrame, vocabulary: Vocabulary, units: int) -> DataFrame:
+    """(code, n): how often each class follows each pair of classes, (two, one, cls) in base
+    CLASSES; behind them how often each class follows a word row, and how often each is two
+    before where that row is, (row, which of both, cls)."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = [np.zeros(0, np.int64)]
+        codes, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for _, _, data, offsets in text_chunks(batch.column("text")):
             words = find_words(data, offsets, _INSIDE)
-            two, one, cls, _ = histories(classes_of(data, words, vocabulary)[0], words.bounds)
-            codes.append((two * CLASSES + one) * CLASSES + cls)
-        found, n = np.unique(np.concatenate(codes), return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array((found // CLASSES).astype(np.int32)),
-                pa.array((found % CLASSES).astype(np.int32)),
-                pa.array(n.astype(np.int64)),
-            ],
-            names=["history", "cls", "n"],
-        )
-
-    partial = map_rows(docs.select("text"), rows, "history int, cls int, n long")
-    return partial.groupBy("history", "cls").agg(F.sum("n").alias("n"))
+            own = classes_of(data, words, vocabulary)[0]
+            two, one, cls, _ = histories(own, words.bounds)
+            unit = unit_before(units_of(words.hashes, own, units), words.bounds, units)
+            inner = unit < units
+            at = UNIT_CODES + unit[inner] * 2 * CLASSES
+            pairs = (two * CLASSES + one) * CLASSES + cls
+            every = np.concatenate([pairs, at + cls[inner], at + CLASSES + two[inner]])
+            found, n = np.unique(every, return_counts=True)
+            codes.append(found)
+            times.append(n)
+        found, at = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(at, np.concatenate(times), len(found)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["code", "n"])
+
+    partial = map_rows(docs.select("text"), rows, "code long, n long", sliced=True)
+    return partial.groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def feature_rows(two: np.ndarray, one: np.ndarray) -> list[np.ndarray]:
@@ -197,11 +244,15 @@ def packed_counts(counts: DataFrame) -> DataFrame:
         blob = np.stack([c.astype(np.int64) for c in columns], axis=1).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["counts"])
 
-    return map_rows(counts.repartition("history"), rows, "counts binary")
+    return map_rows(counts.repartition(GRADIENT_TASKS, "history"), rows, "counts binary")
+
+
+def gradient_blocks(blobs: Iterator[bytes], weights: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    return list(enumerate(np.array_split(gradient(blobs, weights), GRADIENT_BLOCKS)))
 
 
 def trained_weights(counts: DataFrame, tables: Workspace) -> np.ndarray:
-    """Gradient steps, each over all counts; ``counts`` is a written table."""
+    """Gradient steps, each over all (history, cls, n); ``counts`` is a written table."""
     spark = counts.sparkSession
     last = (F.col("history") % CLASSES).alias("one")
     pairs = counts.groupBy(last, "cls").agg(F.sum("n").alias("n")).toPandas()
@@ -216,22 +267,96 @@ def trained_weights(counts: DataFrame, tables: Workspace) -> np.ndarray:
     follow = (seen + 5 * share) / (seen.sum(axis=1, keepdims=True) + 5)
     weights[1 : 1 + CLASSES] = np.log(follow) - np.log(share)
     total = seen.sum()
-    rows = tables.written(packed_counts(counts)).rdd.map(lambda row: bytes(row.counts))
+    # The counts have at most CLASSES**3 rows, so a fixed number of tasks holds them.
+    packed = tables.written(packed_counts(counts)).coalesce(GRADIENT_TASKS)
+    rows = packed.rdd.map(lambda row: bytes(row.counts))
     speed = np.zeros_like(weights)
     for _ in range(STEPS):
         sent = spark.sparkContext.broadcast(weights)  # ROWS * CLASSES numbers
-        step = rows.mapPartitions(lambda part: [gradient(part, sent.value)]).treeReduce(np.add)
-        step = step / np.float32(total)
+        parts = rows.mapPartitions(lambda part: gradient_blocks(part, sent.value))
+        blocks = parts.reduceByKey(np.add, GRADIENT_BLOCKS).collectAsMap()
+        step = np.concatenate([blocks[k] for k in range(GRADIENT_BLOCKS)]) / np.float32(total)
         speed += step * step
         weights = weights + np.float32(RATE) * step / np.sqrt(speed + 1e-12)
         sent.unpersist()
     return weights
 
 
+def class_shares(weights: np.ndarray, one: int) -> np.ndarray:
+    """P(class | two before, ``one``) of the class model, one row for each class two before."""
+    two = np.arange(CLASSES)
+    return np.exp(log_softmax(weights, feature_rows(two, np.full(CLASSES, one))).astype(float))
+
+
+def unit_steps(seen: np.ndarray, two: np.ndarray, shares: np.ndarray):
+    """(weights, normalisers) of some word rows of one class.
+
+    ``seen``: how often each class follows a row's words; ``two``: how often each class is two
+    before.  A step follows the gradient, tokens seen less tokens expected, over the larger of
+    both.  The prior adds UNIT_PRIOR tokens to each row, dealt as the class model expects.
+    """
+    sizes = np.maximum(seen.sum(axis=1, keepdims=True), 1)
+    weighed = two * (1 + UNIT_PRIOR / sizes)
+    target = seen + (two @ shares) * (UNIT_PRIOR / sizes)
+    weights = np.zeros_like(target)
+    for _ in range(UNIT_STEPS):
+        own = np.exp(weights)
+        expected = own * ((weighed / (own @ shares.T)) @ shares)
+        weights += (target - expected) / np.maximum(np.maximum(target, expected), 1e-12)
+    weights = weights.astype(np.float16).astype(float)  # as the tasks hold them
+    return weights, np.log(np.exp(weights) @ shares.T)
+
+
+def trained_units(counts: DataFrame, class_weights: np.ndarray, units: int):
+    """Weights (units + 1, CLASSES) of the word rows, and what each adds to the logarithm of the
+    normaliser after each class two before; the last row has no effect.
+
+    ``counts``: (code, n) from UNIT_CODES on.  A group has the UNIT_BLOCK * 2 * CLASSES counts of
+    UNIT_BLOCK rows at most; blobs of at most six bytes a row and class reach the driver.
+    """
+    sent = counts.sparkSession.sparkContext.broadcast(class_weights)
+    each = units // SUFFIXES
+
+    def rows(table: pa.Table) -> pa.Table:
+        code = table.column("code").to_numpy() - UNIT_CODES
+        block = int(code[0]) // (UNIT_BLOCK * 2 * CLASSES)
+        found = np.zeros(UNIT_BLOCK * 2 * CLASSES)
+        found[code - block * len(found)] = table.column("n").to_numpy()
+        found = found.reshape(UNIT_BLOCK, 2, CLASSES)
+        cls = TOP + (block * UNIT_BLOCK + np.arange(UNIT_BLOCK)) // each
+        weights, norms = (np.zeros((UNIT_BLOCK, CLASSES)) for _ in range(2))
+        for one in np.unique(cls):
+            own = cls == one
+            shares = class_shares(sent.value, one)
+            weights[own], norms[own] = unit_steps(found[own, 0], found[own, 1], shares)
+        blobs = weights.astype(np.float16).tobytes(), norms.astype(np.float32).tobytes()
+        return pa.table(
+            {
+                "block": pa.array([block], pa.int64()),
+                "weights": pa.array([blobs[0]], pa.binary()),
+                "norms": pa.array([blobs[1]], pa.binary()),
+            }
+        )
+
+    block = F.expr(f"(code - {UNIT_CODES}) div {UNIT_BLOCK * 2 * CLASSES}")
+    blobs = counts.groupBy(block.alias("dealt")).applyInArrow(
+        rows, "block long, weights binary, norms binary"
+    )
+    out = np.zeros((units + 1, CLASSES), np.float16), np.zeros((units + 1, CLASSES), np.float32)
+    for row in blobs.collect():
+        at = slice(row.block * UNIT_BLOCK, (row.block + 1) * UNIT_BLOCK)
+        for table, blob in zip(out, (row.weights, row.norms)):
+            table[at] = np.frombuffer(bytes(blob), table.dtype).reshape(-1, CLASSES)
+    return out
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
     weights: np.ndarray
+    #: Of the word rows, and what each adds to the normaliser after each class two before.
+    unit_weights: np.ndarray
+    unit_norms: np.ndarray
     #: log10 of the mass of each suffix class, for its words.
     class_mass: np.ndarray
     train_tokens: int
@@ -252,10 +377,16 @@ class Model:
                 )
         return self._norms
 
-    def class_logs(self, two, one, cls) -> np.ndarray:
-        """log10 P(class | history) of each token."""
+    @property
+    def units(self) -> int:
+        return len(self.unit_weights) - 1
+
+    def class_logs(self, two, one, unit, cls) -> np.ndarray:
+        """log10 P(class | history) of each token; ``unit``: the word row of the word before."""
         logits = sum(self.weights[rows, cls].astype(float) for rows in feature_rows(two, one))
-        return (logits - self.norms()[two * CLASSES + one]) / np.log(10)
+        logits += self.unit_weights[unit, cls]
+        norms = self.norms()[two * CLASSES + one] + self.unit_norms[unit, two]
+        return (logits - norms) / np.log(10)
 
 
 def fit(train: DataFrame, tables: Workspace) -> tuple[Model, DataFrame]:
@@ -272,9 +403,16 @@ def fit(train: DataFrame, tables: Workspace) -> tuple[Model, DataFrame]:
     for row in counts.where(F.col("word").isin(top)).collect() if top else []:
         tokens[row.cls] -= row.n
         types[row.cls] -= 1
-    weights = trained_weights(tables.written(class_counts(train, vocabulary)), tables)
+    units = unit_number(n_all)
+    contexts = tables.written(context_counts(train, vocabulary, units))
+    history, cls = F.expr(f"code div {CLASSES}"), F.col("code") % CLASSES
+    of_classes = contexts.where(F.col("code") < UNIT_CODES)
+    of_classes = of_classes.select(history.alias("history"), cls.alias("cls"), "n")
+    weights = trained_weights(of_classes, tables)
+    rows = trained_units(contexts.where(F.col("code") >= UNIT_CODES), weights, units)
     mass = np.log10(tokens + SMOOTH * (types + 1))
-    return Model(vocabulary, weights, mass, n_all, float(np.log10(n_all + SMOOTH * (v_all + 1)))), counts
+    base_mass = float(np.log10(n_all + SMOOTH * (v_all + 1)))
+    return Model(vocabulary, weights, *rows, mass, n_all, base_mass), counts
 
 
 def score_batches(docs: DataFrame, model: Model) -> DataFrame:
@@ -294,7 +432,9 @@ def score_batches(docs: DataFrame, model: Model) -> DataFrame:
                 n, counts = len(offsets) - 1, np.diff(words.bounds)
                 cls, place = classes_of(data, words, own.vocabulary)
                 two, one, token, text = histories(cls, words.bounds)
-                total = np.bincount(text, own.class_logs(two, one, token), minlength=n)
+                unit = units_of(words.hashes, cls, own.units)
+                unit = unit_before(unit, words.bounds, own.units)
+                total = np.bincount(text, own.class_logs(two, one, unit, token), minlength=n)
                 owner, hit = words.texts(), place >= 0
                 suffix = (cls >= TOP) & (cls < END_CLASS)
                 total -= np.bincount(owner[suffix], own.class_mass[cls[suffix]], minlength=n)

@@ -299,11 +299,101 @@ def test_language_model_sums_to_one(spark, monkeypatch):
     train = table(spark, [(k, "red blue green red blue") for k in range(5)])
     model, _ = maxent.fit(train, Workspace(spark))
     every = np.arange(maxent.CLASSES)
-    for two, one in ((255, 255), (255, 0), (1, 200)):
-        logs = model.class_logs(np.full(256, two), np.full(256, one), every)
+    units = model.units
+    for two, one, unit in ((255, 255, units), (255, 0, units), (1, 200, units), (1, 200, 150)):
+        model.unit_weights[150] = np.linspace(-1, 1, 256)
+        shares = maxent.class_shares(model.weights, 200)
+        model.unit_norms[150] = np.log(np.exp(model.unit_weights[150].astype(float)) @ shares.T)
+        logs = model.class_logs(*(np.full(256, x) for x in (two, one, unit)), every)
         assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_by_hand(spark, monkeypatch):
+    """Every token's softmax over all classes and share in its class, in plain Python."""
+    monkeypatch.setattr(maxent, "STEPS", 2)
+    monkeypatch.setattr(maxent, "FREQUENT", 20)
+    docs = table(spark, [(k, prose(k % 7, 40 + k)) for k in range(30)] + [(90, None)])
+    tokens, held, counts = counted(texts_of(docs))
+    model, _ = maxent.fit(
+        docs.where("crc32(cast(string(doc_id) as binary)) % 10 != 0"), Workspace(spark)
+    )
+
+    def look(word):
+        data = np.frombuffer(word, np.uint8)
+        found = maxent.find_words(data, np.array([0, len(data)]), maxent._INSIDE)
+        cls, _ = maxent.classes_of(data, found, model.vocabulary)
+        return int(cls[0]), int(maxent.units_of(found.hashes, cls, model.units)[0])
+
+    seen = {w: look(w) for i in tokens for w in tokens[i] if w is not None}
+    seen[None] = (maxent.END_CLASS, model.units)
+    mass, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        mass[seen[w][0]] += n
+        kinds[seen[w][0]] += 1
+    for r in maxent.text_scores(docs).collect():
+        total, two, one, unit = 0.0, maxent.END_CLASS, maxent.END_CLASS, model.units
+        for w in tokens[r.doc_id]:
+            rows = maxent.feature_rows(np.array([two]), np.array([one]))
+            logits = sum(model.weights[at].astype(float) for at in rows)[0]
+            logits = logits + model.unit_weights[unit].astype(float)
+            cls = seen[w][0]
+            total += (logits[cls] - np.log(np.exp(logits).sum())) / math.log(10)
+            if maxent.TOP <= cls < maxent.END_CLASS:
+                total += math.log10((counts[w] + 0.1) / (mass[cls] + 0.1 * (kinds[cls] + 1)))
+            two, (one, unit) = one, seen[w]
+        assert r.score == pytest.approx(total, rel=1e-4)
+
+
+def test_contexts_are_counted(spark):
+    """Classes after a word row and before it, against plain Python."""
+    texts = ["aa bb cc aa bb", "cc", "", "aa bb"]
+    docs = table(spark, list(enumerate(texts)))
+    none = maxent.Vocabulary(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)), 4)
+    end, units, wanted = maxent.END_CLASS, 1 << 10, Counter()
+    for text in texts:
+        ids = []
+        for word in text.split():
+            data = np.frombuffer(word.encode(), np.uint8)
+            found = maxent.find_words(data, np.array([0, 2]), maxent._INSIDE)
+            cls = maxent.suffix_classes(data, found)
+            ids.append((int(cls[0]), int(maxent.units_of(found.hashes, cls, units)[0])))
+        ids = [(end, units)] * 2 + ids + [(end, units)]
+        for (two, _), (one, unit), (cls, _) in zip(ids, ids[1:], ids[2:]):
+            wanted[(two * 256 + one) * 256 + cls] += 1
+            if unit < units:
+                wanted[256**3 + unit * 512 + cls] += 1
+                wanted[256**3 + unit * 512 + 256 + two] += 1
+    rows = maxent.context_counts(docs, none, units).collect()
+    assert {r.code: r.n for r in rows} == wanted
+
+
+def test_word_rows_learn_what_follows_them():
+    """At the end of the steps, tokens seen (with the prior) are the tokens expected."""
+    rnd = np.random.default_rng(1)
+    shares = rnd.dirichlet(np.ones(256), 256)
+    seen, two = np.zeros((2, 256)), np.zeros((2, 256))
+    seen[0, [3, 7]] = 300, 100
+    two[0, [5, 9, 200]] = 200, 150, 50
+    weights, norms = maxent.unit_steps(seen, two, shares)
+    share = np.exp(weights[0] - norms[0][:, None]) * shares
+    assert share.sum(axis=1) == pytest.approx(1)
+    prior = maxent.UNIT_PRIOR / 400
+    expected = (two[0] * (1 + prior)) @ share
+    assert expected == pytest.approx(seen[0] + prior * two[0] @ shares, rel=0.02, abs=0.02)
+    assert not weights[1].any() and norms[1] == pytest.approx(0)
+
+
+def test_blocks_of_gradients_add_up(spark, monkeypatch):
+    """Steps over counts in many tasks are steps over all of them at once."""
+    monkeypatch.setattr(maxent, "STEPS", 2)
+    rows = [(h, c, 1 + (h * 7 + c) % 5) for h in range(0, 4000, 37) for c in range(0, 250, 41)]
+    counts = spark.createDataFrame(rows, "history int, cls int, n long")
+    several = maxent.trained_weights(counts, Workspace(spark))
+    monkeypatch.setattr(maxent, "GRADIENT_TASKS", 1)
+    alone = maxent.trained_weights(counts, Workspace(spark))
+    assert np.allclose(several, alone, atol=1e-4)
+
+
 def test_gradient_is_the_slope_of_the_likelihood():
     rnd = np.random.default_rng(4)
     weights = rnd.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32) * 0.1
