@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfuse.llm.common import Workspace, map_rows
+from gridfuse.llm.common import Workspace, map_rows, slices
 from gridfuse.llm.words import WHITE, Words, find_words, lower_case, mix, text_chunks, word_bytes
 
 TOP, SUFFIXES = 191, 64
@@ -85,12 +85,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, suffixes = [np.array([END_HASH], np.uint64)], [np.array([END_CLASS])]
+        times = [np.array([batch.num_rows])]
         for _, _, data, offsets in text_chunks(batch.column("text")):
             words = find_words(data, offsets, _INSIDE)
-            hashes.append(words.hashes)
-            suffixes.append(suffix_classes(data, words))
-        found, at, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-        n[found == END_HASH] += batch.num_rows - 1
+            found, at, n = np.unique(words.hashes, return_index=True, return_counts=True)
+            hashes.append(found)
+            suffixes.append(suffix_classes(data, words)[at])
+            times.append(n)
+        every = np.concatenate(hashes)
+        found, at, own = np.unique(every, return_index=True, return_inverse=True)
+        n = np.bincount(own, np.concatenate(times), len(found))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(found.view(np.int64)),
@@ -425,7 +429,7 @@ def score_batches(docs: DataFrame, model: Model) -> DataFrame:
         by_suffix = own.vocabulary.cls < 0
         end_log = float(np.log10(own.vocabulary.end_count + SMOOTH))
         kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             columns: list[list] = [[], [], [], [], []]
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 words = find_words(data, offsets, _INSIDE)
