@@ -181,10 +181,18 @@ def still_open(members: DataFrame, stars: DataFrame) -> DataFrame:
     return rooted.join(buckets, "key")
 
 
-def pairs_between(leaders: DataFrame, members: DataFrame) -> DataFrame:
+def leaders(members: DataFrame) -> DataFrame:
+    """The LEADERS smallest ids of each bucket.  The filter on the number goes before the
+    exchange, so a bucket of any size sends that many rows of each task."""
+    turn = Window.partitionBy("key").orderBy("id")
+    numbered = members.withColumn("turn", F.row_number().over(turn))
+    return numbered.where(F.col("turn") <= LEADERS).drop("turn")
+
+
+def pairs_between(first: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct (u, v) of one bucket and two components that may be similar enough: by size,
     and by what can follow the shingle that they share."""
-    left = leaders.select("key", *(F.col(c).alias(f"{c}_u") for c in ("id", "n", "place", "root")))
+    left = first.select("key", *(F.col(c).alias(f"{c}_u") for c in ("id", "n", "place", "root")))
     right = members.select("key", "id", "n", "place", "root", "low")
     follow = "1 + least(n - place, n_u - place_u)"
     return (
@@ -216,9 +224,7 @@ def set_links(members: DataFrame, texts: DataFrame, tables: Workspace) -> DataFr
         fresh = pairs_between(small.where("root <> low"), small)
         last = large.isEmpty()
         if not last:
-            turn = Window.partitionBy("key").orderBy("id")
-            large = tables.written(large.withColumn("turn", F.row_number().over(turn)))
-            first = large.where(F.col("turn") <= LEADERS)
+            first = tables.written(leaders(large))
             fresh = fresh.unionByName(pairs_between(first, large)).distinct()
         fresh = tables.written(fresh.join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(fresh)
@@ -226,7 +232,7 @@ def set_links(members: DataFrame, texts: DataFrame, tables: Workspace) -> DataFr
         if last:
             return stars
         # Leaders have met all of their bucket.
-        rest = large.where(F.col("turn") > LEADERS).drop("turn", "root", "c", "low")
+        rest = large.join(first, ["key", "id"], "left_anti").drop("root", "c", "low")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -150,6 +150,16 @@ def test_documents_with_a_passage_in_common(spark, monkeypatch, small):
     assert near_rows(docs) == components_by_force(texts)
 
 
+def test_leaders_of_a_bucket_are_chosen_before_the_exchange(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEADERS", 3)
+    members = spark.range(1000).select("id", F.expr("if(id % 100 < 99, 7L, id)").alias("key"))
+    first = near_dedup.leaders(members)
+    assert [r.id for r in first.where("key = 7").orderBy("id").collect()] == [0, 1, 2]
+    assert first.where("key <> 7").count() == 10
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange hashpartitioning")
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = odd_rows()
     found = near_dedup.near_duplicates(table(spark, rows)).collect()
