@@ -38,6 +38,8 @@ TABLES, ROWS = 10, 2
 #: Buckets of a shared rare shingle up to ``SMALL`` members are finished at once; in larger
 #: ones ``LEADERS`` members meet all others in a round.
 SMALL, LEADERS = 4096, 256
+#: Members of a bucket that meet its one row, or its leaders, in one group.
+PART = 512
 SIGNATURES = "doc_id long, n long, set_key binary, first array<long>, second array<long>"
 
 _random = np.random.default_rng(20)
@@ -95,8 +97,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), rows, SIGNATURES, sliced=True)
 
 
+def in_parts(members: DataFrame, count: str) -> DataFrame:
+    """Each member in one ``part`` of its bucket, by id; ``count`` names the bucket's size."""
+    return members.withColumn("part", F.expr(f"pmod(xxhash64(id), ({count} - 1) div {PART} + 1)"))
+
+
+def for_parts(rows: DataFrame, count: str) -> DataFrame:
+    """Each row once for every ``part`` of its bucket, so that a large one spreads over tasks."""
+    return rows.withColumn("part", F.expr(f"explode(sequence(0L, ({count} - 1) div {PART}))"))
+
+
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """(key, id, n) of every bucket with two classes or more, without repeated buckets."""
+    """(key, id, n, size) of every bucket with two classes or more, without repeated buckets;
+    ``size`` is the number of its members."""
     halves = classes.select("id", "n", "second", F.posexplode("first").alias("i", "half"))
     shared = halves.groupBy("i", "half").agg(F.count("*").alias("c")).where("c > 1")
     table = F.expr(
@@ -115,7 +128,7 @@ def bucket_members(classes: DataFrame) -> DataFrame:
         .where("c > 1")
         .groupBy("c", "low", "high", "mark")
         .agg(F.min("key").alias("key"))
-        .select("key")
+        .select("key", F.col("c").alias("size"))
     )
     return members.join(buckets, "key")
 
@@ -145,9 +158,10 @@ def near_size(one: str, other: str) -> str:
     return f"100 * least({one}, {other}) >= {PERCENT} * greatest({one}, {other})"
 
 
-def prefix_members(texts: DataFrame) -> DataFrame:
-    """(key, id, n, place): the rarest shingles of each set, enough that two sets that are
-    similar enough share one; ``place`` counts from 1 in the order of rarity."""
+def prefix_members(texts: DataFrame, tables: Workspace) -> DataFrame:
+    """(key, id, n, place, size): the rarest shingles of each set, enough that two sets that
+    are similar enough share one; ``place`` counts from 1 in the order of rarity, ``size``
+    the sets that have the shingle, among their rarest or not."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = []
@@ -160,11 +174,12 @@ def prefix_members(texts: DataFrame) -> DataFrame:
 
     sets = map_rows(texts, rows, "id long, keys array<long>", sliced=True)
     held = sets.select("id", F.size("keys").alias("n"), F.explode("keys").alias("key"))
-    counts = held.groupBy("key").agg(F.count("*").alias("texts"))
-    rarity = Window.partitionBy("id").orderBy("texts", "key")
-    placed = held.join(counts, "key").withColumn("place", F.row_number().over(rarity))
+    # Written, so that a common shingle is a skewed side that a join can split.
+    counts = tables.written(held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    rarity = Window.partitionBy("id").orderBy(F.col("size").asc_nulls_first(), "key")
+    placed = held.join(counts, "key", "left").withColumn("place", F.row_number().over(rarity))
     needed = F.expr(f"place <= n - ceil({PERCENT} * n / 100) + 1")
-    return placed.where(needed).where("texts > 1").select("key", "id", "n", "place")
+    return placed.where(needed).where("size > 1").select("key", "id", "n", "place", "size")
 
 
 def still_open(members: DataFrame, stars: DataFrame) -> DataFrame:
@@ -173,12 +188,12 @@ def still_open(members: DataFrame, stars: DataFrame) -> DataFrame:
     roots = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
     rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     buckets = (
-        rooted.groupBy("key")
+        rooted.groupBy("key", "size")
         .agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low < high")
-        .select("key", "c", "low")
     )
-    return rooted.join(buckets, "key")
+    buckets = for_parts(buckets, "size").select("key", "part", "c", "low")
+    return in_parts(rooted, "size").join(buckets, ["key", "part"]).drop("part")
 
 
 def leaders(members: DataFrame) -> DataFrame:
@@ -192,11 +207,12 @@ def leaders(members: DataFrame) -> DataFrame:
 def pairs_between(first: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct (u, v) of one bucket and two components that may be similar enough: by size,
     and by what can follow the shingle that they share."""
-    left = first.select("key", *(F.col(c).alias(f"{c}_u") for c in ("id", "n", "place", "root")))
-    right = members.select("key", "id", "n", "place", "root", "low")
+    named = (F.col(c).alias(f"{c}_u") for c in ("id", "n", "place", "root"))
+    left = for_parts(first, "c").select("key", "part", *named)
+    right = in_parts(members, "c").select("key", "part", "id", "n", "place", "root", "low")
     follow = "1 + least(n - place, n_u - place_u)"
     return (
-        left.join(right, "key")
+        left.join(right, ["key", "part"])
         .where("root_u <> root and (id_u < id or root = low)")
         .where(near_size("n", "n_u"))
         .where(f"{100 + PERCENT} * ({follow}) >= {PERCENT} * (n + n_u)")
@@ -207,14 +223,15 @@ def pairs_between(first: DataFrame, members: DataFrame) -> DataFrame:
 
 def set_links(members: DataFrame, texts: DataFrame, tables: Workspace) -> DataFrame:
     """Stars (u, v) of the components of all confirmed links between classes."""
-    leader = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"))
-    led = members.join(leader, "key").where("id <> leader.id")
+    leader = members.groupBy("key", "size").agg(F.min(F.struct("id", "n")).alias("leader"))
+    leader = for_parts(leader, "size").select("key", "part", "leader")
+    led = in_parts(members, "size").join(leader, ["key", "part"]).where("id <> leader.id")
     pairs = led.where(near_size("n", "leader.n"))
     pairs = pairs.select(F.col("leader.id").alias("u"), F.col("id").alias("v")).distinct()
     tried = tables.written(pairs)
     stars = component_stars(confirmed(tried, texts), tables)
-    wanted = tables.written(still_open(led.select("key", "id", "n"), stars).select("id").distinct())
-    rest = tables.written(prefix_members(texts.join(wanted, "id", "left_semi")))
+    wanted = tables.written(still_open(led.select("key", "id", "n", "size"), stars).select("id").distinct())
+    rest = tables.written(prefix_members(texts.join(wanted, "id", "left_semi"), tables))
     while True:
         rest = tables.written(still_open(rest, stars))
         if rest.isEmpty():

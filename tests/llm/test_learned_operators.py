@@ -133,10 +133,11 @@ def edited(words, changes, seed):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("small", [1024, 3])
-def test_documents_with_a_passage_in_common(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "part"), [(1024, 512), (1024, 4), (3, 2)])
+def test_documents_with_a_passage_in_common(spark, monkeypatch, small, part):
     """Chains of edits, and short documents that share most of a passage."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "PART", part)
     monkeypatch.setattr(near_dedup, "LEADERS", 2)
     base, passage = prose(7, 150).split(), prose(8, 20)
     texts = {k: edited(base, k % 4, k) for k in range(30)}
@@ -160,6 +161,24 @@ def test_leaders_of_a_bucket_are_chosen_before_the_exchange(spark, monkeypatch):
     assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange hashpartitioning")
 
 
+def test_a_hot_bucket_meets_its_row_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 100)
+    members = spark.range(2050).selectExpr(
+        "if(id < 2000, 7L, id) as key", "id", "5L as n", "if(id < 2000, 2000L, 1L) as size"
+    )
+    stars = spark.createDataFrame([(k, 0) for k in range(1, 1500)], "u long, v long")
+    found = near_dedup.still_open(members, stars)
+    assert found.count() == 2000 and found.where("key <> 7").isEmpty()
+    assert [tuple(r) for r in found.select("c", "low").distinct().collect()] == [(2000, 0)]
+    parts = near_dedup.in_parts(members, "size").groupBy("key", "part").count()
+    assert parts.where("key = 7").count() == 20 and parts.agg(F.max("count")).first()[0] < 200
+    each = members.where("id = 0 or id = 2049")
+    assert near_dedup.for_parts(each, "size").groupBy("id").count().orderBy("id").collect() == [
+        (0, 20),
+        (2049, 1),
+    ]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = odd_rows()
     found = near_dedup.near_duplicates(table(spark, rows)).collect()
