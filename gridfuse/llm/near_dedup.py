@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("set_key")
         .agg(
             F.min("doc_id").alias("id"),
+            F.count("*").alias("copies"),
             F.first("n").alias("n"),
             F.first("first").alias("first"),
             F.first("second").alias("second"),
@@ -284,10 +285,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.first("text").alias("text"))
     )
     stars = set_links(members, texts, tables)
-    roots = classes.select("set_key", "id").join(
-        stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left"
-    )
-    roots = roots.select("set_key", F.coalesce("root", "id").alias("root"))
+    linked = stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    roots = classes.select("set_key", "id", "copies").join(linked, "id", "left")
+    roots = roots.where("copies > 1 or root is not null")
+    # Written, so that documents of one set are a skewed side that a join can split.
+    roots = tables.written(roots.select("set_key", F.coalesce("root", "id").alias("root")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     placed = found.select("doc_id", "n", "set_key").join(roots, "set_key", "left")
     placed = placed.withColumn("component_id", component)
